@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, piece_counts, url_rules
+from . import bpe, chat, pii, piece_counts, quality, token_files, url_rules
 from .common import table
 from .tokenizers_io import public_path
 
@@ -26,12 +26,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path("byte_bpe_50k.json"), digests=True)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *quality.MEASURED, "base_failed", "kept", "posterior")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), token_files.scratch_path(spark))
+    return token_files.read_documents(files)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.RULES).drop("url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op9_url_filter)}
+    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_quality, op6_pii, op7_token_files, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
