@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, pii, piece_counts, quality, token_files, url_rules
+from . import bpe, chat, decontaminate, pii, piece_counts, quality, token_files, url_rules
 from .common import table
 from .tokenizers_io import public_path
 
@@ -44,8 +44,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.RULES).drop("url")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_quality, op6_pii, op7_token_files, op9_url_filter)}
+    registered = (
+        op1_chat_format, op2_token_counts, op3_bpe, op4_quality, op6_pii, op7_token_files, op9_url_filter, op10_decontaminate,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
