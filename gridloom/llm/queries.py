@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, piece_counts, quality, token_files, url_rules
+from . import bpe, chat, decontaminate, jaccard_join, pii, piece_counts, quality, substring_dedup, token_files, url_rules
 from .common import table
 from .tokenizers_io import public_path
 
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURED, "base_failed", "kept", "posterior")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.RULES).drop("url")
 
@@ -50,10 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
-        op1_chat_format, op2_token_counts, op3_bpe, op4_quality, op6_pii, op7_token_files, op9_url_filter, op10_decontaminate,
+        op1_chat_format, op2_token_counts, op3_bpe, op4_quality, op5_substring_dedup, op6_pii, op7_token_files, op8_jaccard_join, op9_url_filter, op10_decontaminate,
     )
     return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE_SQL, "op9_url_filter": url_rules.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL, "op9_url_filter": url_rules.ORACLE_SQL}
