@@ -38,9 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the ids of the whole text, with digests of ids and decoded text."""
-    encoded = bpe.encode_decode(docs, public_path("byte_bpe_50k.json"), digests=True)
-    return encoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+    """The ids of the whole text in place of it, with a digest of the text that they decode to."""
+    return bpe.encode_decode(docs, public_path("byte_bpe_50k.json"), add=("n_tokens", "ids", "decoded_sha256"), keep_text=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -206,40 +206,36 @@ class Codec:
         return b"".join([label.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-SCHEMA = "ids array<int>, decoded string"
+#: What ``encode_decode`` can add, with Spark's and Arrow's types.
+ADDED = {
+    "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "n_tokens": ("bigint", pa.int64()),
+    "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()),
+}
 
 
-def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """Ids and decoded text of every row's whole text, beside all other columns.
+def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", add: tuple[str, ...] = ("ids", "decoded"), keep_text: bool = True) -> DataFrame:
+    """``df`` with columns of ``ADDED`` for every row's whole text; columns of these names are replaced.
 
-    Adds ``ids`` and ``decoded`` (columns of these names are replaced), or with
-    ``digests`` only ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.  Null texts
-    count as empty: no ids, empty decoded text.  Repeated rows stay repeated; an
-    empty table gives an empty one.  Rows are independent, so nothing is shuffled.
+    Digests are of the ids as little-endian 32-bit integers and of the decoded text in
+    UTF-8, in lowercase hex.  Null texts count as empty: no ids, empty decoded text.
+    Repeated rows stay repeated; an empty table gives an empty one.  Rows are
+    independent, so nothing is shuffled.
     """
     shared = Shared(df.sparkSession, tokenizer_path)
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    kept = [c for c in df.columns if c not in new and not (digests and c == text)]
-    fields = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {fields[c]}" for c in new])
+    kept = [c for c in df.columns if c not in add and (keep_text or c != text)]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {ADDED[c][0]}" for c in add])
     source = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec: Codec = shared.build("codec", Codec)
         for batch in common.steps(batches, text):
             ids = [codec.encode(t) for t in common.strings(batch.column(text)).to_pylist()]
-            decoded = [codec.decode(x) for x in ids]
-            added: dict[str, Any]
-            if digests:
-                added = {
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
-                }
-            else:
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                added = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array(decoded, pa.string())}
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | added)
+            made: dict[str, Any] = {"ids": ids, "n_tokens": [len(x) for x in ids]}
+            if "ids_sha256" in add:
+                made["ids_sha256"] = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+            if "decoded" in add or "decoded_sha256" in add:
+                made["decoded"] = [codec.decode(x) for x in ids]
+                made["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in made["decoded"]]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {c: pa.array(made[c], ADDED[c][1]) for c in add})
 
     return source.mapInArrow(run, schema)

@@ -23,7 +23,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path("byte_bpe_50k.json"), digests=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_path("byte_bpe_50k.json"), add=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
