@@ -18,9 +18,11 @@ and repeated tasks.  Shards are range partitions by document id.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -38,7 +40,11 @@ MAGIC, VERSION = b"GLTK", 1
 NO_ID = -(1 << 63)
 BLOCK = 1 << 14
 FILE_IDS = 1 << 20
-CHUNKS_KEPT = 400_000
+#: Chunks that a worker remembers; when there are more, it forgets the long ones, which are seldom met again.
+CHUNKS_KEPT = 700_000
+LONG, LONGEST = 9, 64
+_WIDE = re.compile("[^\x00-\xff]")
+_WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00df-\u00f6\u00f8-\u00ff]+)([#*$%&|.,;:!?]+)")
 _HEAD = struct.Struct("<4sHHIIQQ")
 
 
@@ -46,12 +52,18 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     """Each id in ``width`` bits, lowest first."""
     if width < 32 and len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
+    if width % 8 == 0:
+        return np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, : width // 8].tobytes()
     bits = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8), bitorder="little")
     return np.packbits(bits.reshape(-1, 32)[:, :width], bitorder="little").tobytes()
 
 
 def unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
     """The first ``n`` ids of a packed block."""
+    if width % 8 == 0:
+        out = np.zeros((n, 4), dtype=np.uint8)
+        out[:, : width // 8] = data[: n * width // 8].reshape(n, -1)
+        return out.view("<u4").ravel()
     first = np.arange(n, dtype=np.int64) * width
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     at, value = first >> 3, np.zeros(n, dtype=np.uint64)
@@ -106,7 +118,10 @@ class Encoder:
     """The library's ids of a text, remembered by what stands between spaces and line feeds.
 
     Only for tokenizers that drop white space and look at nothing across it, which is
-    checked: then a text's ids are those of its parts, one after another.
+    checked: then a text's ids are those of its parts, one after another.  If the
+    tokenizer also folds case and parts words from the signs behind them, as is checked
+    too, remembered parts serve for more chunks; plain words go straight to the
+    library's model where that gives the same.
     """
 
     def __init__(self, data: bytes) -> None:
@@ -115,7 +130,14 @@ class Encoder:
         self._known: dict[str, bytes] = {"": b""}
         text = "a b\nc  d\n e"
         whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.parts = whole == [i for p in text.split() for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        self.parts = whole == [i for p in text.split() for i in self._ids(p)]
+        self.folds = self._ids("A\u00c9B\u00d8C") == self._ids("a\u00e9b\u00f8c")
+        self.words = all(self._ids(word + signs) == self._ids(word) + self._ids(signs) for word in ("a", "there", "\u00e9t\u00e9") for signs in (".", ",", "!!", "%%%", "|"))
+        self.bare = all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(w)] for w in ("a", "there", "unthinkingly", "zqxv"))
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text, followed by ``end``."""
@@ -123,24 +145,50 @@ class Encoder:
         if not self.parts:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [np.array([*x.ids, end], dtype=np.uint32) for x in found]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self._known
-        missing = list(set().union(*split).difference(known)) if split else []
-        if missing:
-            if len(known) + len(missing) > CHUNKS_KEPT:
-                known.clear()
-                known[""] = b""
-                missing = list(set().union(*split).difference(known))
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for chunk, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(x.ids, dtype="<u4").tobytes()
+        missing = set().union(*split).difference(known)
+        if len(known) + len(missing) > CHUNKS_KEPT:
+            self._known = known = {c: ids for c, ids in known.items() if len(c) < LONG} if sum(len(c) < LONG for c in known) < CHUNKS_KEPT // 2 else {"": b""}
+            missing = set().union(*split).difference(known)
+        self._learn(missing)
         out = [np.frombuffer(b"".join([known[c] for c in parts]) + last, dtype="<u4") for parts in split]
         for chunk in missing:
-            if len(chunk) > 64:
+            if len(chunk) > LONGEST:
                 del known[chunk]
         return out
 
+    def _folded(self, text: str) -> str:
+        """The text in lower case, if the tokenizer folds case itself, all is Latin-1 and no special token appears in either."""
+        if not self.folds or _WIDE.search(text) is not None:
+            return text
+        low = text.lower()
+        return text if any(token in low for token in self.special) else low
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Add what the library makes of each chunk; a word with signs behind it is put together of the two."""
+        known, pairs, ask = self._known, [], set()
+        for chunk in chunks:
+            m = _WORD_AND_SIGNS.fullmatch(chunk) if self.words else None
+            if m is None:
+                ask.add(chunk)
+            else:
+                pairs.append((chunk, m[1], m[2]))
+                ask.update(part for part in m.groups() if part not in known)
+        todo = []
+        tokenize = self.tokenizer.model.tokenize
+        for chunk in ask:
+            if self.bare and chunk.isascii() and chunk.isalpha() and chunk.islower():
+                known[chunk] = array("I", [t.id for t in tokenize(chunk)]).tobytes()
+            else:
+                todo.append(chunk)
+        for at in range(0, len(todo), 4096):
+            some = todo[at : at + 4096]
+            for chunk, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[chunk] = array("I", x.ids).tobytes()
+        for chunk, word, signs in pairs:
+            known[chunk] = known[word] + known[signs]
+
 
 FILES = "shard int, file int, first bigint, n_docs bigint, n_ids bigint, content binary"
 
