@@ -1,0 +1 @@
+"""Point tables to feature rasters, as lazy DataFrame plans."""
