@@ -62,7 +62,7 @@ class Automaton:
             u, v, uv = tokens[a], tokens[b], tokens[a + b]
             if uv in self.made:
                 raise ValueError(f"two merges make {a + b!r}")
-            if not self.arc(u, v):
+            if any(len(x) > 1 and tokens[x] not in self.made for x in (a, b)) or not self.arc(u, v):
                 continue  # no u-arc is ever followed by a v-arc: the gadget would change nothing
             self._arcs.clear()
             self.lost[u << 32 | v] = when
