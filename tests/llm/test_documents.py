@@ -1,0 +1,351 @@
+"""Quality, personal data, duplicates, leaks, URLs and the pipeline, against brute force."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from gridloom.llm import decontaminate, jaccard_join, near, pii, quality, substring_dedup, url_rules
+from gridloom.llm.textnp import SPACE
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def brute_counts(text):
+    w = WORD.findall(text)
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, repeated = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            repeated += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered)
+
+
+def test_spaces_are_the_contracts():
+    assert [b for b in range(256) if SPACE[b]] == [9, 10, 11, 12, 13, 32]
+
+
+def test_quality_rows(spark, documents):
+    df, rows = documents
+    out = quality.judge_quality(df.withColumnRenamed("source", "kept").withColumnRenamed("lang", "n_words")).collect()
+    got = Counter((r["doc_id"], *[r[c] for c in quality.MEASURED], r["base_failed"]) for r in out)
+    want = Counter()
+    for row in rows:
+        counts = brute_counts(row[1] or "")
+        want[row[0], *counts, counts[0] < 20 or 100 * counts[4] > 30 * counts[0]] += 1
+    assert got == want
+    assert all(not r["kept"] for r in out if r["base_failed"])
+    kept = {r["doc_id"] for r in out if r["kept"]}
+    assert set(range(30)) <= kept and 111 not in kept
+    assert quality.judge_quality(df.limit(0)).count() == 0
+
+
+def test_estimate_finds_rates_of_a_known_model():
+    r = np.random.default_rng(1)
+    good = r.random(40_000) < 0.85
+    false, caught = np.array([0.01, 0.02, 0.05, 0.01]), np.array([0.7, 0.6, 0.5, 0.8])
+    votes = np.where(r.random((len(good), 4)) < np.where(good[:, None], false, caught), quality.BAD, quality.GOOD)
+    votes[r.random(votes.shape) < 0.1] = quality.ABSTAIN
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    found = quality.estimate(patterns, counts.astype(float))
+    assert abs(found["good"] - 0.85) < 0.01 and np.abs(found["false"] - false).max() < 0.02 and np.abs(found["caught"] - caught).max() < 0.03
+    kept = quality.posterior(votes, found["false"], found["caught"], found["good"]) >= 0.5
+    assert (kept == good).mean() > 0.97
+
+
+def test_keep_good_keeps_columns_and_rows(spark, documents):
+    df, _ = documents
+    kept = quality.keep_good(df)
+    judged = Counter(r["doc_id"] for r in quality.judge_quality(df).collect() if r["kept"])
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == judged
+
+
+def brute_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", ".", "-", "1", "25", "4111 1111 1111 1111", "+1 (2)", "é", " ", "a.b", "(", ")", "9.8.7.6", "\n", "_"]), max_size=16).map("".join))
+def test_base_spans_are_the_patterns(text):
+    assert pii.base_spans(text) == brute_spans(text)
+    spans = pii.all_spans(text, pii.trained())
+    assert set(pii.base_spans(text)) <= set(spans)
+    pii.mask(text, spans)
+
+
+def test_field_on_held_out_sentences():
+    field, right, all_, wrong = pii.trained(), 0, 0, 0
+    for text, spans in pii.made_up(4242, 150):
+        found = set(field.best(pii.Window(text)))
+        right, all_, wrong = right + len(found & set(spans)), all_ + len(spans), wrong + len(found - set(spans))
+    assert right / all_ > 0.97 and wrong / all_ < 0.02
+
+
+def test_best_segmentation_is_the_best():
+    field = pii.trained()
+    window = pii.Window('call +1 (212) 555-0143 4524132264652876 or "a1b2c3d4e5f6a7b8c9d0"')
+    scores = field.scores(window).max(axis=1)
+
+    def brute(at):
+        if at == window.n:
+            return 0.0
+        return max([brute(at + 1), *(scores[k] + brute(j) for k, (i, j) in enumerate(window.segments) if i == at)])
+
+    value = {}
+    names = {(window.starts[i], window.ends[j - 1]): scores[k] for k, (i, j) in enumerate(window.segments)}
+    value = sum(names[s, e] for _, s, e in field.best(window))
+    assert value == pytest.approx(brute(0))
+    assert np.allclose(field.marginals(window).sum() >= 0, True)
+
+
+def test_pii_rows_and_masking(spark, documents):
+    df, rows = documents
+    out = pii.find_pii(df.withColumnRenamed("lang", "spans")).collect()
+    for row in out:
+        assert "spans" in row.asDict()
+    found = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    assert (found[112]["n_email"], found[112]["n_phone"], found[112]["n_ip"]) == (1, 1, 0) and found[103]["spans"] == ""
+    masked = {r["doc_id"]: r for r in pii.mask_pii(df, length="n_chars").collect()}
+    assert "[EMAIL]" in masked[112]["text"] and "[PHONE]" in masked[112]["text"] and masked[112]["n_chars"] == len(masked[112]["text"])
+    assert masked[103]["text"] is None and masked[0]["text"] == rows[0][1]
+    assert pii.find_pii(df.limit(0)).count() == 0 and pii.mask_pii(df.limit(0)).count() == 0
+
+
+def brute_components(rows, size=5):
+    sets = []
+    for key, text in rows:
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+        sets.append(({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}) if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    lowest = defaultdict(list)
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            lowest[find(i)].append(key)
+    return Counter((key, len(s), key if not s else min(lowest[find(i)], default=None)) for i, ((key, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def test_join_rows(spark, documents):
+    df, rows = documents
+    out = jaccard_join.join_documents(df.withColumnRenamed("lang", "sid").withColumnRenamed("source", "label"))
+    assert Counter(map(tuple, out.collect())) == brute_components([(r[0], r[1]) for r in rows])
+    assert jaccard_join.join_documents(df.limit(0)).count() == 0
+
+
+def chains(n_groups=6, length=40, seed=2):
+    """Documents that change a word at a time, so that neighbours are linked and the ends are not."""
+    r = np.random.default_rng(seed)
+    rows, key = [], 0
+    for g in range(n_groups):
+        words = [f"w{g}x{i}" for i in range(80)]
+        for _ in range(length):
+            rows.append((key, " ".join(words)))
+            key += 1
+            for at in r.choice(80, 2, replace=False):
+                words[at] = f"n{key}y{at}"
+    order = r.permutation(len(rows))
+    return [rows[i] for i in order]
+
+
+@pytest.mark.parametrize("together", [2048, 6])
+def test_join_of_chains_needs_the_trees(spark, monkeypatch, together):
+    monkeypatch.setattr(near, "TOGETHER", together)  # few sets of a hot key meet: its lists are split
+    monkeypatch.setattr(near, "TURNS", 0)  # no pivots: the signature trees find every pair
+    rows = chains(4, 25)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, jaccard_join.join_documents(df).collect())) == brute_components(rows)
+
+
+def test_join_of_chains_with_pivots(spark):
+    rows = chains(3, 30, seed=5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, jaccard_join.join_documents(df).collect())) == brute_components(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 60), st.booleans())
+def test_trees_name_every_linked_pair(seed, m, sided):
+    r = np.random.default_rng(seed)
+    pool = r.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = []
+    for _ in range(m):
+        base = sets[r.integers(len(sets))] if sets and r.random() < 0.7 else r.choice(pool, r.integers(5, 60), replace=False)
+        extra = r.integers(0, 2**63, r.integers(0, 4), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[r.random(len(base)) < 0.95], extra, pool[:1]])))
+    label, side = r.integers(0, 5, m), r.integers(0, 2, m) if sided else None
+    found = set()
+    for i, j in near.tree_pairs(np.array([len(s) for s in sets]), label, [near.bitmap(s) for s in sets], side=side):
+        found |= {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    for i in range(m):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 4 * both >= 3 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j] and (side is None or side[i] != side[j]):
+                assert (j, i) in found
+
+
+def test_one_of_each(spark, documents):
+    df, _ = documents
+    kept = jaccard_join.one_of_each(df)
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    joined = Counter(r["doc_id"] for r in jaccard_join.join_documents(df).collect() if r["doc_id"] == r["component_id"])
+    assert kept.columns == df.columns and set(ids) - {None} == set(joined) - {None} and max(ids.values()) == 1
+
+
+def paragraph_rows():
+    r = np.random.default_rng(9)
+    line = lambda n: " ".join(f"v{r.integers(1, 10**6)}" for _ in range(n))
+    shared, near_copy = line(60), None
+    words = shared.split()
+    words[30] = "changed"
+    near_copy = " ".join(words)
+    short = line(10)
+    return [
+        (1, f"{line(50)}\n{shared}\n{short}"), (2, f"{shared}\n{line(45)}\n{short}"), (3, f"{line(5)}\n{line(70)}\n{near_copy}"), (4, f"{line(50)}\n\n{line(55)}"), (5, None), (6, ""),
+        (7, f"{shared.upper()}\n{shared}"), (None, shared), (7, f"{shared.upper()}\n{shared}"), (8, line(4000)),
+    ]
+
+
+def test_repeats(spark):
+    rows = paragraph_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = substring_dedup.find_repeats(df).collect()
+    got = Counter((r["doc_id"], r["paragraph"], r["removed"]) for r in out)
+    assert got == Counter([(None, 0, False), (1, 1, True), (2, 0, True), (3, 2, True), *[(7, 0, True), (7, 1, True)] * 2])
+    assert {(r["class_doc_id"], r["class_paragraph"]) for r in out} == {(None, 0)}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df.where("doc_id IS NOT NULL")).collect()}
+    assert left[1] == rows[0][1] and left[7] == "" and left[5] is None and left[3] == "\n".join(rows[2][1].split("\n")[:2]) and left[4] == rows[3][1]
+    assert substring_dedup.find_repeats(df.limit(0)).count() == 0
+
+
+def test_bands_reach_their_recall():
+    r = np.random.default_rng(4)
+    found = 0
+    for _ in range(400):
+        both = r.integers(0, 2**63, 75, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(2))
+        x, y = substring_dedup.bands([a, b])
+        found += bool(np.isin(x, y).any())
+    assert found / 400 > 0.99
+
+
+def brute_leaks(rows, items):
+    out = Counter()
+    for key, text in rows:
+        words = WORD.findall((text or "").lower())
+        grams = set(zip(*[words[i:] for i in range(5)], strict=False))
+        for item, what in items:
+            w = WORD.findall(what.lower())
+            if set(zip(*[w[i:] for i in range(5)], strict=False)) <= grams and len(w) >= 5:
+                out[key, item] += 1
+    return out
+
+
+def leak_tables(spark):
+    r = np.random.default_rng(12)
+    line = lambda n: " ".join(f"q{min(int(r.zipf(1.3)), 5000)}" for _ in range(n))
+    items = [(i, f"{line(r.integers(12, 30))}. {line(r.integers(6, 20))}.") for i in range(60)]
+    rows = [(i, line(300)) for i in range(20)] + [(100 + i, f"{line(int(r.integers(0, 200)))} {items[i][1].upper()} {line(50)}") for i in range(0, 60, 3)]
+    rows += [(500, None), (501, ""), (502, items[5][1]), (502, items[5][1]), (None, items[6][1])]
+    return rows, items, spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*items, (None, "a b"), (99, None), (98, " ")], "item_id bigint, text string")
+
+
+def test_leaks(spark):
+    rows, items, df, benchmark = leak_tables(spark)
+    out = decontaminate.find_leaks(df, benchmark).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in out) == brute_leaks(rows, items)
+    assert all(r["score"] >= decontaminate.THRESHOLD for r in out)
+    leaked = {r["doc_id"] for r in out}
+    kept = [r["doc_id"] for r in decontaminate.drop_leaks(df, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted((k for k, _ in rows if k not in leaked), key=str)
+    assert decontaminate.find_leaks(df.limit(0), benchmark).count() == 0 and decontaminate.find_leaks(df, benchmark.limit(0)).count() == 0
+
+
+def test_wand_retrieves_all_above_the_threshold(spark):
+    _, items, _, _ = leak_tables(spark)
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
+    dense = np.zeros((len(index.terms), len(items)))
+    for k in range(len(index.terms)):
+        dense[k, index.item[index.first[k] : index.first[k + 1]]] = index.impact[index.first[k] : index.first[k + 1]]
+    assert np.allclose(dense.sum(axis=0), 1.0)
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        terms = np.unique(r.integers(0, len(index.terms), r.integers(1, 120)))
+        threshold = float(r.choice([0.05, 0.2, 0.4]))
+        score = dense[terms].sum(axis=0)
+        want = {i: score[i] for i in np.flatnonzero(score >= threshold - 1e-9)}
+        _, blocks = index.promising(terms, np.zeros(len(terms), np.int64), 1, threshold)
+        got = {i: s for b in blocks.tolist() for i, s in index.retrieve(terms, b, threshold)}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def brute_rule(url, rules):
+    host, path = url_rules.split_url(url)
+    fits = [(len(h.split(".")), len(p), v, h + p) for v, h, p in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda f: (f[0], f[1], f[2] == "allow"), default=None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from(["allow", "block"]), st.sampled_from(["com", "a.com", "b.a.com", "net"]), st.sampled_from(["", "/", "/en", "/en/", "/en/7", "/e"])), max_size=8),
+    st.sampled_from(["a.com", "x.a.com", "b.a.com", "com", "net", "xa.com", ""]), st.sampled_from(["", "/", "/en", "/en/", "/en/7", "/en/76?x", "/e#f", "/en//7", "?/en/"]),
+)
+def test_trie_takes_the_longest_rule(rules, host, path):
+    url = f"http://{host}{path}"
+    found, want = url_rules.Trie(rules).longest(*url_rules.split_url(url)), brute_rule(url, rules)
+    assert (found and (*found[0], found[2], found[1])) == want
+
+
+def test_url_rows(spark):
+    urls = ["HTTP://WWW.Example.COM/en/71?a#b", "http://x.net/de/", "https://example.net/de/81", "none", None, "", "a://b://c/d", "x://example.org/es", "x://example.org/es/?"]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge_urls(df, url_rules.RULES).collect()}
+    assert out[0] == ("www.example.com", "/en/71", "example.com/en/7", "allow") and out[1] == ("x.net", "/de/", "net/de/", "block")
+    assert out[2][2:] == ("example.net/de/8", "block") and out[3] == out[4] == out[5] == ("", "", None, "allow")
+    assert out[6] == ("b:", "//c/d", None, "allow") and out[7][2] is None and out[8][2:] == ("org/es/", "block")
+    assert url_rules.judge_urls(df.limit(0), url_rules.RULES).count() == 0
+
+
+def test_pipeline_is_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    line = lambda n: " ".join(f"p{r.integers(1, 3000)}" for _ in range(n))
+    items = [(i, f"{line(20)}. {line(8)}.") for i in range(5)]
+    texts = [line(int(r.integers(40, 120))) for _ in range(40)]
+    texts += [texts[0], texts[1] + " tail", f"{line(30)} {items[2][1]} {line(30)}", "short one", None, f"{line(40)} mail a.b@mail.example.com end", "same words here " * 60]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {row["doc_id"]: row for row in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_leaks", "personal_data", "token_ids"]
+    assert set(out) == {*range(40), 45}
+    from gridloom.llm.tokenizers_io import public_path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    masked = texts[45].replace("a.b@mail.example.com", "[EMAIL]")
+    for key, row in out.items():
+        text = masked if key == 45 else texts[key]
+        assert row["ids"] == tokenizer.encode(text, add_special_tokens=False).ids and row["n_chars"] == len(text)
