@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy step looks at; temporaries are about 40 bytes a text byte.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable.
+    """Make the checkpoint folder known.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``.  Only a
     purely local session that names none gets a temporary folder of its own;
@@ -34,10 +36,54 @@ def checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+class Scratch:
+    """Tables that ``cut`` has written since this began; ``keep`` says which are needed afterwards."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.tables = [t for t in self.tables if not any(t is f for f in frames)]
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """While this is open, tables of ``cut`` are temporary: those that nobody keeps are deleted at its end."""
+    _open.append(Scratch())
+    try:
+        yield _open[-1]
+    finally:
+        for df in _open.pop().tables:
+            fs, path = _file_system(df.sparkSession, df._gridloom_path)  # type: ignore[attr-defined]
+            fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)  # type: ignore[union-attr]
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it again, which cuts its lineage.
+
+    Unlike after ``checkpoint()``, the size that Spark assumes is that of the files, not
+    the product of all that was joined on the way.  What isn't deleted before goes when
+    the application ends.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    name = f"{spark.sparkContext.getCheckpointDir()}/gridloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    fs, path = _file_system(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._gridloom_path = name  # type: ignore[attr-defined]
+    if _open:
+        _open[-1].tables.append(out)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,12 +9,15 @@ what a unit of text is and in the keys under which two linked units must meet.
 2.  A second reading sends each set's keys, packed, to buckets of the key space.  What a
     hot key gathers is split further by set, so that no task gets it whole.  A bucket
     returns the lists of sets that share a key, equal lists once.
-3.  A third reading fetches the shingles of sets that are in some list, found by a bit
-    table of fixed size; its false hits cost only work.
-4.  Each list's sets are verified against its smallest.  The links found give
-    components.  Lists that still span several components go through a signature tree
-    each (``tree_pairs``), which names all pairs across components that can be linked;
-    these are verified too, and complete the components.
+3.  In each list a set of the largest component is the pivot, and every set of another
+    component is paired with the pivots of some of its lists.  Bitmaps, kept from the
+    first reading, bound what two sets can have in common and rule most pairs out.  For
+    the others a reading fetches the shingles, by a bit table of fixed size whose false
+    hits cost only work, and exact similarities give links and larger components.  A
+    few rounds of this join dense groups.
+4.  Lists that still span several components go through a signature tree each
+    (``tree_pairs``), which names all pairs across components that can be linked; these
+    are verified in the same way, and complete the components.
 
 So a dense group of thousands costs about as many verifications as it has sets, and
 no pair that can be linked goes unseen unless its ends are already in one class.
@@ -34,14 +37,20 @@ from pyspark.sql import functions as F
 from . import common
 from .textnp import mix
 
-#: Keys known to all tasks as frequent: 1 MB with their counts.
-HOT = 1 << 16
+#: Keys known to all tasks as frequent: 4 MB with their counts.
+HOT = 1 << 18
 #: Sets of one hot key that may meet in one task.
 TOGETHER = 2048
 #: Text bytes whose sets are held at once.
-STRETCH = 6 << 20
+STRETCH = 4 << 20
 #: Bits of the table of wanted sets: 8 MB.
 TABLE_BITS = 1 << 26
+#: Rows that are looked up by a broadcast of their keys, 8 MB.
+LOOKED_UP = 1 << 20
+#: Pivots that a set is verified against at each turn, and turns, before all open pairs are.
+STARS, TURNS = 4, 3
+#: Rows of lists around one component that one task gets.
+WORK = 50_000
 LEAF = 16
 
 #: A unit: its place in its row, its words, and its sorted distinct shingle hashes.
@@ -91,11 +100,14 @@ def _sets(units: list[tuple[Any, int, int, int, np.ndarray]]) -> dict[int, np.nd
     return {sid: s for _, _, _, sid, s in units if len(s)}
 
 
-UNITS = "place int, n_words int, n bigint, sid bigint, shared bigint"
+UNITS = "place int, n_words int, n bigint, sid bigint, shared bigint, bitmap binary"
 
 
 def measure(df: DataFrame, scheme: Scheme, key: str, text: str) -> DataFrame:
-    """Every unit with its set's size and id, and, in rows of ``shared`` > 0, key counts in place of ids; checkpointed."""
+    """Every unit with its set's size and id, and, in rows of ``shared`` > 0, key counts in place of ids; written.
+
+    One unit of each set and stretch has the set's bitmap.
+    """
     kind = df.schema[key].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else None
 
@@ -106,12 +118,13 @@ def measure(df: DataFrame, scheme: Scheme, key: str, text: str) -> DataFrame:
             found, counts = np.unique(np.concatenate(shared), return_counts=True) if shared else (np.empty(0, np.uint64), np.empty(0, np.int64))
             found, counts = found[counts > 1], counts[counts > 1]
             none, zero = [None] * len(found), [0] * len(found)
+            maps = {sid: bitmap(s) for sid, s in sets.items()}
             columns = [
                 pa.array([u[0] for u in units] + none, arrow), pa.array([u[1] for u in units] + zero, pa.int32()), pa.array([u[2] for u in units] + zero, pa.int32()),
                 pa.array([len(u[4]) for u in units] + zero, pa.int64()), pa.array(np.concatenate([np.array([u[3] for u in units], dtype=np.int64), found.view(np.int64)])),
-                pa.array(np.concatenate([np.zeros(len(units), np.int64), counts.astype(np.int64)])),
+                pa.array(np.concatenate([np.zeros(len(units), np.int64), counts.astype(np.int64)])), pa.array([maps.pop(u[3], None) for u in units] + none, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "place", "n_words", "n", "sid", "shared"])
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "place", "n_words", "n", "sid", "shared", "bitmap"])
 
     return common.cut(df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {UNITS}"))
 
@@ -119,18 +132,18 @@ def measure(df: DataFrame, scheme: Scheme, key: str, text: str) -> DataFrame:
 def hot_keys(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent keys, sorted, and into how many parts each is split."""
     counts = measured.where("shared > 0").groupBy("sid").agg(F.sum("shared").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "sid").limit(HOT).collect()  # a bounded number; any choice gives the same result
-    keys = np.array([r["sid"] for r in rows], dtype=np.int64).view(np.uint64)
-    parts = 1 + np.array([r["n"] for r in rows], dtype=np.int64) // TOGETHER
+    rows = counts.orderBy(F.desc("n"), "sid").limit(HOT).toPandas()  # a bounded number; any choice gives the same result
+    keys = rows["sid"].to_numpy(dtype=np.int64).view(np.uint64)
+    parts = 1 + rows["n"].to_numpy(dtype=np.int64) // TOGETHER
     order = np.argsort(keys)
     return keys[order], parts[order]
 
 
-LISTS = "list bigint, part int, split boolean, low bigint, members binary"
+LISTS = "list bigint, part int, members binary"
 
 
 def lists(df: DataFrame, scheme: Scheme, hot: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
-    """The sets that share a key: packed (id, size) pairs by list and part; checkpointed.
+    """The sets that share a key: packed (id, size) pairs by list and part; written.
 
     A list that isn't split has one part and at least two sets, and is there once
     however many keys have it.
@@ -182,7 +195,7 @@ def lists(df: DataFrame, scheme: Scheme, hot: tuple[np.ndarray, np.ndarray], key
                 which = int(np.searchsorted(ends, -1 - bucket, side="right"))
                 part = int(-1 - bucket - (ends[which] - split[which]))
                 name = int(mix(rows["key"][:1]).view(np.int64)[0])
-                out[name] = (name, part, True, int(rows["sid"].min()), np.stack([rows["sid"], rows["n"]], axis=1).tobytes())
+                out[name] = (name, part, np.stack([rows["sid"], rows["n"]], axis=1).tobytes())
             else:
                 for a, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                     some = rows[a : a + m]
@@ -190,10 +203,10 @@ def lists(df: DataFrame, scheme: Scheme, hot: tuple[np.ndarray, np.ndarray], key
                         continue
                     name = int(mix(np.array([mix(some["sid"].view(np.uint64)).sum(dtype=np.uint64)])).view(np.int64)[0])
                     if name not in out:
-                        out[name] = (name, 0, False, int(some["sid"][0]), np.stack([some["sid"], some["n"]], axis=1).tobytes())
+                        out[name] = (name, 0, np.stack([some["sid"], some["n"]], axis=1).tobytes())
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out.values(), strict=True), kinds, strict=True)], names=["list", "part", "split", "low", "members"])
+                kinds = (pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out.values(), strict=True), kinds, strict=True)], names=["list", "part", "members"])
 
     sent = df.select(key, text).mapInArrow(send, "bucket bigint, rows binary")
     found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, LISTS)
@@ -222,26 +235,41 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) ->
         yield now, held
 
 
-def star(found: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each list's smallest set and every other."""
-    lowest = found.where("split").groupBy("list").agg(F.min("low").alias("lowest"))
-    wide = found.join(F.broadcast(lowest), "list", "left")  # one row per hot key that is split
+def members(found: DataFrame) -> DataFrame:
+    """One row per list, part and set; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lows = batch.column("low").to_pylist()
-            a, b = [], []
-            for low, members in zip(lows, batch.column("members").to_pylist(), strict=True):
-                sids = np.frombuffer(members, dtype="<i8").reshape(-1, 2)[:, 0]
-                sids = sids[sids != low]
-                a.append(np.full(len(sids), low, dtype=np.int64))
-                b.append(sids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            sids = [np.frombuffer(x, dtype="<i8").reshape(-1, 2)[:, 0] for x in batch.column("members").to_pylist()]
+            counts = np.array([len(x) for x in sids], dtype=np.int64)
+            if counts.sum():
+                take = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([batch.column("list").take(take), batch.column("part").take(take), pa.array(np.concatenate(sids))], names=["list", "part", "sid"])
+
+    return common.cut(found.select("list", "part", "members").mapInArrow(run, "list bigint, part int, sid bigint"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with each set's label, its own id if it has no link yet."""
+    if labels is None:
+        return rows.withColumn("label", F.col("sid"))
+    return rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
 
-    pairs = wide.select(F.coalesce("lowest", "low").alias("low"), "members").mapInArrow(run, "a bigint, b bigint")
-    return common.cut(pairs.distinct())
+def star(rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b, of sets and the pivots of their lists, at most ``STARS`` pivots for each set.
+
+    A list's pivot is of its most frequent component, and another one at each turn.  These
+    pairs are verified first, but are not all: ``across`` names what they leave open.
+    """
+    known = labelled(rows, labels)
+    least = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid")).alias("least")
+    parts = known.groupBy("list", "label").agg(F.count("*").alias("n"), least)
+    top = parts.groupBy("list").agg(F.max(F.struct("n", "least.h", "label", "least.sid")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    pairs = known.join(top, "list").where(F.col("label") != F.col("top.label")).select("sid", F.struct(F.col("top.h").alias("h"), F.col("top.sid").alias("pivot")).alias("p"))
+    some = pairs.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("p")), 1, STARS).alias("p"))  # a set's lists are as many as its keys
+    both = some.select("sid", F.explode("p.pivot").alias("pivot"))
+    return both.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
 def bit_table(sids: DataFrame) -> np.ndarray:
@@ -263,34 +291,66 @@ def wanted(table: np.ndarray, sids: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """The set's hashes as bits; the width is the least power of two of twice the size, at least 64."""
-    width = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    """The set's hashes as bits; the width is the least power of two of four times the size, at least 64."""
+    width = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def fetch(df: DataFrame, scheme: Scheme, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """sid, n, packed shingles and bitmap of every set in ``pairs`` (and a few others); checkpointed."""
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    table = df.sparkSession.sparkContext.broadcast(bit_table(sids))
+def fetch(df: DataFrame, scheme: Scheme, sids: DataFrame, measured: DataFrame, key: str, text: str) -> DataFrame:
+    """sid and packed shingles of every set of ``sids``; written.
+
+    One row of the input is looked up for each set.  Up to ``LOOKED_UP`` of them are
+    found by a broadcast of their keys; for more, all texts are read and a bit table says
+    which sets to pass on.
+    """
+    holders = measured.where("shared = 0").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(key).alias("__key"))
+    holders = common.cut(holders.select("__key").distinct())
+    few = holders.count() <= LOOKED_UP
+    table = df.sparkSession.sparkContext.broadcast(None if few else bit_table(sids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for units in _stretches(batches, scheme, key, text):
             sets = _sets(units)
             ids = np.fromiter(sets, dtype=np.int64, count=len(sets))
-            ids = ids[wanted(table.value, ids)]
+            if table.value is not None:
+                ids = ids[wanted(table.value, ids)]
             for at in range(0, len(ids), 512):
-                some = [(sid, len(sets[sid]), sets[sid].tobytes(), bitmap(sets[sid])) for sid in ids[at : at + 512].tolist()]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), kinds, strict=True)], names=["sid", "n", "shingles", "bitmap"])
+                some = ids[at : at + 512]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([sets[sid].tobytes() for sid in some.tolist()], pa.binary())], names=["sid", "shingles"])
 
-    found = df.select(key, text).mapInArrow(run, "sid bigint, n bigint, shingles binary, bitmap binary")
-    return common.cut(found.dropDuplicates(["sid"]))
+    rows = df.select(key, text)
+    if few:
+        rows = rows.join(F.broadcast(holders), F.col(key).eqNullSafe(F.col("__key")), "left_semi")  # at most LOOKED_UP keys
+    found = rows.mapInArrow(run, "sid bigint, shingles binary")
+    return common.cut(found.join(sids, "sid", "left_semi").dropDuplicates(["sid"]))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs that sizes and bitmaps don't rule out; written."""
+    left = sketches.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("bitmap").alias("x"))
+    right = sketches.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    num, den = scheme.numerator, scheme.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                if den * min(n, m) < num * max(n, m):
+                    keep.append(False)
+                    continue
+                width = 8 * min(len(x), len(y))
+                p, q = (fold(np.frombuffer(v, "<u8")[None, :], width)[0] for v in (x, y))
+                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+                keep.append(most * (num + den) >= num * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return common.cut(pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs whose sets' Jaccard similarity reaches the least one; checkpointed."""
+    """The pairs whose sets' Jaccard similarity reaches the least one; written."""
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     numerator, denominator = scheme.numerator, scheme.denominator
@@ -455,66 +515,96 @@ def tree_pairs(n: np.ndarray, label: np.ndarray, bitmaps: list[bytes], num: int
             yield from _cross(tree(key, width), tree(other, width), num, den)
 
 
-def across(found: DataFrame, labels: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+def across(rows: DataFrame, labels: DataFrame | None, sketches: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs of each list that span components and may be linked, by signature trees; distinct, smaller id first."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = batch.column("members").to_pylist()
-            sids = [np.frombuffer(x, dtype="<i8").reshape(-1, 2)[:, 0] for x in packed]
-            counts = np.array([len(x) for x in sids], dtype=np.int64)
-            if not counts.sum():
-                continue
-            take = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column("list").take(take), batch.column("part").take(take), pa.array(np.concatenate(sids))], names=["list", "part", "sid"])
-
-    several = found.where((F.length("members") > 32) | F.col("split"))  # two sets are a star's whole work
-    members = several.select("list", "part", "members").mapInArrow(explode, "list bigint, part int, sid bigint")
-    members = members.join(labels, "sid", "left").select("list", "part", "sid", F.coalesce("label", "sid").alias("label"))
-    members = common.cut(members)
-    open_ = members.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("part").alias("parts")).where("low <> high").select("list", "parts")
-    members = members.join(open_, "list").join(sets.select("sid", "n", "bitmap"), "sid")
+    members = common.cut(labelled(rows, labels).select("list", "part", "sid", "label"))
+    counts = members.groupBy("list", "label").agg(F.count("*").alias("n"), F.max("part").alias("parts"))
+    tops = counts.groupBy("list").agg(F.max(F.struct("n", "label")).alias("top"), F.max("parts").alias("parts"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = common.cut(tops.select("list", "parts", "size", F.col("top.label").alias("around")))
+    # Lists around one component share pairs; they go to as few tasks as their size allows, which send a pair once.
+    work = open_.groupBy("around").agg((1 + F.floor(F.sum(F.col("size") * (1 + F.col("parts"))) / WORK)).alias("shares"))
+    open_ = open_.join(work, "around").select("list", "parts", "around", "shares")
+    members = members.join(open_, "list").join(sketches, "sid")
     # Every pair of a list's parts is a piece of work of its own; a part meets itself, too.
     tasks = members.select("*", F.explode(F.sequence(F.lit(0), "parts")).alias("other"))
     tasks = tasks.select(
         F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("task"), (F.col("part") != F.col("other")).alias("crossed"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "sid", "n", "label", "bitmap",
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "sid", "n", "label", "bitmap", "around", "shares",
     )
+    tasks = tasks.withColumn("deal", F.xxhash64("around", F.pmod("task", "shares"))).drop("around", "shares")
     num, den = scheme.numerator, scheme.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.empty((0, 2), np.int64)], 0
         for _, rows in grouped(batches, "task", ["sid", "n", "label", "bitmap", "side", "crossed"]):
             sid, n, label = (np.array(rows[c], dtype=np.int64) for c in ("sid", "n", "label"))
             side = np.array(rows["side"], dtype=np.int64) if rows["crossed"][0] else None
             for i, j in tree_pairs(n, label, rows["bitmap"], num, den, side):
-                a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1))
+                size += len(i)
+            if size > 1 << 18:  # the same pair comes from several lists
+                held = [np.unique(np.concatenate(held), axis=0)]
+                size = 0
+                if len(held[0]) > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], names=["a", "b"])
+                    held = [np.empty((0, 2), np.int64)]
+        last = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], names=["a", "b"])
 
-    parts = common.partitions(found.sparkSession)
-    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
+    parts = common.partitions(rows.sparkSession)
+    return tasks.repartition(parts, "deal").drop("deal").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 @dataclass
 class Classes:
-    """units: key, place, n_words, n, sid of every unit; labels: sid and label of every linked set; links: all verified links that were needed."""
+    """units: key, place, n_words, n, sid of every unit; labels: sid and label of every set that has a link."""
 
     units: DataFrame
     labels: DataFrame
-    links: DataFrame
+    measured: DataFrame
 
 
 def classes(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> Classes:
-    """Units, links and components of a whole table, as the module says."""
+    """Units and components of a whole table, as the module says."""
+    with common.scratch() as tables:
+        found = _classes(df, scheme, key, text)
+        tables.keep(found.measured, found.labels)
+    return found
+
+
+def _classes(df: DataFrame, scheme: Scheme, key: str, text: str) -> Classes:
     measured = measure(df, scheme, key, text)
-    units = measured.where("shared = 0").drop("shared")
+    units = measured.where("shared = 0").drop("shared", "bitmap")
     found = lists(df, scheme, hot_keys(measured), key, text)
-    pairs = star(found)
-    sets = fetch(df, scheme, pairs, key, text)
-    links = verify(pairs, sets, scheme)
-    labels = components(links)
-    more = common.cut(across(found, labels, sets, scheme).join(pairs, ["a", "b"], "left_anti"))
-    more = verify(more, sets, scheme)
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-    return Classes(units, labels, links)
+    sketches = measured.where("bitmap IS NOT NULL").select("sid", "n", "bitmap").dropDuplicates(["sid"])
+    rows = members(found)
+    sets: DataFrame | None = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    checked: DataFrame | None = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if sets is None:
+            sets = fetch(df, scheme, need, measured, key, text)
+        else:
+            missing = common.cut(need.join(sets.select("sid"), "sid", "left_anti"))
+            if not missing.isEmpty():
+                sets = sets.union(fetch(df, scheme, missing, measured, key, text))
+        return verify(pairs, sets, scheme)
+
+    for turn in range(TURNS + 1):
+        pairs = star(rows, labels, turn) if turn < TURNS else across(rows, labels, sketches, scheme)
+        pairs = common.cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        likely = possible(pairs, sketches, scheme) if turn < TURNS else pairs
+        checked = pairs if checked is None else checked.union(pairs)
+        if likely.isEmpty():
+            continue
+        new = verified(likely)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
+    if labels is None:
+        labels = df.sparkSession.createDataFrame([], "sid bigint, label bigint")
+    return Classes(units, labels, measured)
