@@ -99,6 +99,20 @@ def barycentric(triangles: DataFrame, points: DataFrame, size: Resolution) -> Da
     return inside.select("*", first.alias("k")).where("k = 1").drop("k")
 
 
+def corners(points: DataFrame, size: Resolution, tiles: DataFrame) -> DataFrame:
+    """For every pixel the ids ``a, b, c`` and places of its triangle's corners, and its distances ``da, db, dc`` from them.
+
+    Outside the hull ids and places are NULL and distances infinite.
+    """
+    found = barycentric(delaunay_triangles(points), points, size).select(*PIXEL, "a", "b", "c")
+    places = points.select("tile_id", "point_id", "u", "v")
+    for c in "abc":
+        found = found.join(places.select("tile_id", F.col("point_id").alias(c), F.col("u").alias(f"u{c}"), F.col("v").alias(f"v{c}")), ["tile_id", c])
+    out = grid(tiles, size).join(found, list(PIXEL), "left")
+    far = {c: F.sqrt((F.col(f"u{c}") - F.col("x")) * (F.col(f"u{c}") - F.col("x")) + (F.col(f"v{c}") - F.col("y")) * (F.col(f"v{c}") - F.col("y"))) for c in "abc"}
+    return out.select(*PIXEL, "a", "b", "c", *[f"{n}{c}" for c in "abc" for n in "uv"], *[F.coalesce(d, F.lit(float("inf"))).alias(f"d{c}") for c, d in far.items()])
+
+
 def shapes(triangles: DataFrame, points: DataFrame) -> DataFrame:
     """Each triangle with its ``area`` and ``aspect``, the longest edge over the shortest."""
     corner = points.select("tile_id", "point_id", "u", "v")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..operators import rasters, red_relief
 from ..operators.delaunay import delaunay_triangles
-from ..operators.interpolation import Cubic, Delaunay, Interpolation, Linear, Nearest, barycentric, grid, shapes
+from ..operators.interpolation import Cubic, Delaunay, Interpolation, Linear, Nearest, barycentric, corners, grid, shapes
 from ..operators.projection import FieldOfView, Orthographic, Perspective, Projection, Spherical
 from ..operators.thinning import thin_points
 from ..schema import PIXEL, Raster, Resolution
@@ -210,6 +210,20 @@ def bary_sql(triangles: str) -> str:
 
 
 add("barycentric_weights", weights_query, f"WITH {UVS}, {GRID}, {TRI}, {bary_sql('tri')} SELECT tile_id, y, x, a, b, c, round(wa, 6) + 0.0 AS wa, round(wb, 6) + 0.0 AS wb, round(wc, 6) + 0.0 AS wc FROM bary")
+
+
+def corners_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = placed(spark, sf_dir)
+    out = corners(points, SIZE, points.select("tile_id").distinct()).where("a IS NOT NULL")
+    return out.select("tile_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "a", "b", "c", *[_round(f"d{c}").alias(f"d{c}") for c in "abc"])
+
+
+add(
+    "triangle_corners", corners_query,
+    f"WITH {UVS}, {GRID}, {TRI}, {bary_sql('tri')} SELECT k.tile_id, k.y, k.x, k.a, k.b, k.c, round(sqrt((p.u - k.x) * (p.u - k.x) + (p.v - k.y) * (p.v - k.y)), 6) AS da, "
+    "round(sqrt((q.u - k.x) * (q.u - k.x) + (q.v - k.y) * (q.v - k.y)), 6) AS db, round(sqrt((r.u - k.x) * (r.u - k.x) + (r.v - k.y) * (r.v - k.y)), 6) AS dc FROM bary k "
+    "JOIN uv p ON p.tile_id = k.tile_id AND p.point_id = k.a JOIN uv q ON q.tile_id = k.tile_id AND q.point_id = k.b JOIN uv r ON r.tile_id = k.tile_id AND r.point_id = k.c",
+)
 VALUE = (
     "base AS (SELECT g.tile_id, g.y, g.x, wa * ra.r + wb * rb.r + wc * rc.r AS v FROM grid g LEFT JOIN bary USING (tile_id, y, x) "
     "LEFT JOIN val ra ON ra.tile_id = g.tile_id AND ra.point_id = a LEFT JOIN val rb ON rb.tile_id = g.tile_id AND rb.point_id = b LEFT JOIN val rc ON rc.tile_id = g.tile_id AND rc.point_id = c)"
