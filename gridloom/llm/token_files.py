@@ -18,6 +18,7 @@ and repeated tasks.  Shards are range partitions by document id.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -41,8 +42,8 @@ NO_ID = -(1 << 63)
 BLOCK = 1 << 14
 FILE_IDS = 1 << 20
 #: Chunks that a worker remembers; when there are more, it forgets the long ones, which are seldom met again.
-CHUNKS_KEPT = 700_000
-LONG, LONGEST = 9, 64
+CHUNKS_KEPT = 500_000
+KEPT_SHARE, LONGEST = 0.7, 64
 _WIDE = re.compile("[^\x00-\xff]")
 _WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00df-\u00f6\u00f8-\u00ff]+)([#*$%&|.,;:!?]+)")
 _HEAD = struct.Struct("<4sHHIIQQ")
@@ -135,6 +136,7 @@ class Encoder:
         self.words = all(self._ids(word + signs) == self._ids(word) + self._ids(signs) for word in ("a", "there", "\u00e9t\u00e9") for signs in (".", ",", "!!", "%%%", "|"))
         self.bare = all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(w)] for w in ("a", "there", "unthinkingly", "zqxv"))
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -149,7 +151,7 @@ class Encoder:
         known = self._known
         missing = set().union(*split).difference(known)
         if len(known) + len(missing) > CHUNKS_KEPT:
-            self._known = known = {c: ids for c, ids in known.items() if len(c) < LONG} if sum(len(c) < LONG for c in known) < CHUNKS_KEPT // 2 else {"": b""}
+            self._known = known = self._short(known)
             missing = set().union(*split).difference(known)
         self._learn(missing)
         out = [np.frombuffer(b"".join([known[c] for c in parts]) + last, dtype="<u4") for parts in split]
@@ -158,12 +160,19 @@ class Encoder:
                 del known[chunk]
         return out
 
+    @staticmethod
+    def _short(known: dict[str, bytes]) -> dict[str, bytes]:
+        """The shortest half, or a little less."""
+        lengths = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+        most = int(np.searchsorted(np.cumsum(np.bincount(lengths)), KEPT_SHARE * len(known), side="right"))
+        return {c: ids for c, ids in known.items() if len(c) < most}
+
     def _folded(self, text: str) -> str:
         """The text in lower case, if the tokenizer folds case itself, all is Latin-1 and no special token appears in either."""
-        if not self.folds or _WIDE.search(text) is not None:
+        if not self.folds or not text.isascii() and _WIDE.search(text) is not None:
             return text
         low = text.lower()
-        return text if any(token in low for token in self.special) else low
+        return text if self.mark in low and any(token in low for token in self.special) else low
 
     def _learn(self, chunks: set[str]) -> None:
         """Add what the library makes of each chunk; a word with signs behind it is put together of the two."""
