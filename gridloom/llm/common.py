@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,3 +123,12 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES)
             to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .textnp import mix
+from .tokenizers_io import release
 
 #: Keys known to all tasks as frequent: 4 MB with their counts.
 HOT = 1 << 18
@@ -82,6 +83,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def _stretches(batches: Iterator[pa.RecordBatch], scheme: Scheme, key: str, text: str) -> Iterator[list[tuple[Any, int, int, int, np.ndarray]]]:
     """(row key, place, words, set id, set) of the units in about ``STRETCH`` bytes of text, again and again."""
+    release()
     held: list[tuple[Any, int, int, int, np.ndarray]] = []
     size = 0
     for batch in common.steps(batches, text):
@@ -213,11 +215,18 @@ def lists(df: DataFrame, scheme: Scheme, hot: tuple[np.ndarray, np.ndarray], key
     return common.cut(found.dropDuplicates(["list", "part"]))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in short slices, so that only a few are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[Any, dict[str, list]]]:
     """Each key with its values, from batches sorted by key."""
     now: Any = None
     held: dict[str, list] = {c: [] for c in columns}
-    for batch in batches:
+    for batch in _parts(batches, 2048):
         keys = batch.column(key).to_numpy(zero_copy_only=False)
         values = {c: batch.column(c).to_pylist() for c in columns}
         at = 0
@@ -334,7 +343,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame
     num, den = scheme.numerator, scheme.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 2048):
             keep = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
                 if den * min(n, m) < num * max(n, m):
@@ -356,7 +365,7 @@ def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     numerator, denominator = scheme.numerator, scheme.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 n, m = len(x) // 8, len(y) // 8

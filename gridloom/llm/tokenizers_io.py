@@ -26,6 +26,11 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def release() -> None:
+    """Let go of what earlier tasks built in this worker; for operators that need the memory for something else."""
+    _built.clear()
+
+
 class Shared:
     """A file's bytes on every worker, and what a worker makes of them."""
 
