@@ -1,4 +1,4 @@
-"""Operator 5: repeated passages, found paragraph by paragraph.
+"""Operator 5: repeated passages, paragraph by paragraph and by shared runs of words.
 
 A paragraph is a line of at least ``MIN_WORDS`` words.  Its five-word shingles get
 MinHash values in bands, as many as ``tune`` finds necessary for the wanted recall at
@@ -6,11 +6,15 @@ the least similarity.  Paragraphs that collide in a band are verified by exact
 Jaccard similarity, and the links' components are the classes.  Of each class the
 first paragraph, by document and place, stays.  Equal shingle sets are one class
 without any banding, so exact copies are never missed.
+
+Passages of over 50 words that documents share are found wherever they stand, over
+short lines or inside longer ones, by ``runs``; both are in the result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, near, textnp
+from . import common, near, runs, textnp
 
 SIZE, SIMILARITY, RECALL = 5, 0.75, 0.999
 MIN_WORDS = 40
 MOST_BANDS = 24
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -83,37 +88,73 @@ SCHEME = near.Scheme(paragraphs, bands, lambda sets, hot: bands(sets))
 
 
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph of a class of two or more: ``key``, paragraph, n_words, class_<key>, class_paragraph, removed.
+    """One row per repeated paragraph or passage: ``key``, paragraph, n_words, class_<key>, class_paragraph, removed, first_word.
 
     ``paragraph`` counts the text's lines from 0.  The class is named by its first
     paragraph, which alone isn't removed; a null key comes first.  Rows of one key are one
     document's, and their equal places one paragraph's, which is removed with the
     others unless it is the first.  Null, empty and short texts have no paragraphs;
     an empty table gives an empty one.
+
+    A row with a ``first_word``, counted in the text from 0, is a passage of ``n_words``
+    words that documents share, of over 50 words and any lines; its paragraph is the line where it
+    begins.  Passages all of whose lines are there as paragraphs, and as removed ones if
+    they are removed, are left out.
     """
     found = near.classes(df, SCHEME, key, text)
     units = found.units.join(found.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     several = units.groupBy("label").agg(F.count("*").alias("size"), F.min(F.struct(key, "place")).alias("first")).where("size > 1")
     rows = units.join(several, "label")
     same = F.col(key).eqNullSafe(F.col(f"first.{key}")) & (F.col("place") == F.col("first.place"))
-    return rows.select(
-        key, F.col("place").alias("paragraph"), "n_words", F.col(f"first.{key}").alias(f"class_{key}"), F.col("first.place").alias("class_paragraph"), (~same).alias("removed")
-    )
+    lines = common.cut(rows.select(
+        key, F.col("place").alias("paragraph"), "n_words", F.col(f"first.{key}").alias(f"class_{key}"), F.col("first.place").alias("class_paragraph"), (~same).alias("removed"),
+        F.lit(None).cast("int").alias("first_word"),
+    ))
+    # Bounded by a text's lines.
+    listed = lines.groupBy(F.col(key).alias("__key")).agg(F.collect_set("paragraph").alias("__all"), F.collect_set(F.when(F.col("removed"), F.col("paragraph"))).alias("__gone"))
+    shared = runs.shared_runs(df, key, text).join(listed, F.col(key).eqNullSafe(F.col("__key")), "left")
+    there = F.when(F.col("removed"), F.col("__gone")).otherwise(F.col("__all"))
+    covered = F.size(F.array_except(F.sequence("line", "last_line"), there)) == 0
+    shared = shared.where(~F.coalesce(covered, F.lit(False)))
+    return lines.unionByName(shared.select(
+        key, F.col("line").alias("paragraph"), "n_words", F.col("first_key").alias(f"class_{key}"), F.col("first_line").alias("class_paragraph"), "removed", "first_word"
+    ))
+
+
+def without(text: str, lines: set[int], passages: list[tuple[int, int]]) -> str:
+    """``text`` without these lines and runs of words (first, number); white space around the words stays."""
+    out, at, number = [], 0, 0
+    gone = sorted((a, a + n) for a, n in passages)
+    for i, line in enumerate(text.split("\n")):
+        left, kept = [], 0
+        for m in _WORD.finditer(line):
+            while at < len(gone) and gone[at][1] <= number:
+                at += 1
+            if at < len(gone) and gone[at][0] <= number:
+                left.append(line[kept : m.start()])
+                kept = m.end()
+            number += 1
+        if i not in lines:
+            new = "".join(left) + line[kept:]
+            if not kept or new.strip(" \t\v\f\r"):
+                out.append(new)
+    return "\n".join(out)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the repeated paragraphs; line feeds go with the lines they end.  Rows whose key is null are left as they are."""
+    """``df`` without the repeated paragraphs and passages; line feeds go with the lines they end.  Rows whose key is null are left as they are."""
     gone = find_repeats(df, key, text).where(F.col("removed") & F.col(key).isNotNull())
-    places = gone.groupBy(F.col(key).alias("__key")).agg(F.collect_set("paragraph").alias("__gone"))  # bounded by a text's lines
+    lines = F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("__gone")  # both are bounded by a text's length
+    passages = F.collect_set(F.when(F.col("first_word").isNotNull(), F.struct("first_word", "n_words"))).alias("__runs")
+    places = gone.groupBy(F.col(key).alias("__key")).agg(lines, passages)
     wide = df.join(places, F.col(key) == F.col("__key"), "left").drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, text):
             new = []
-            for t, gone in zip(batch.column(text).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                drop = set(gone or ())
-                new.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop) if t and drop else t)
-            columns = {c: batch.column(c) for c in batch.schema.names if c != "__gone"}
+            for t, gone, cuts in zip(*(batch.column(c).to_pylist() for c in (text, "__gone", "__runs")), strict=True):
+                new.append(without(t, set(gone or ()), [(x["first_word"], x["n_words"]) for x in cuts or ()]) if t and (gone or cuts) else t)
+            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("__gone", "__runs")}
             yield pa.RecordBatch.from_pydict(columns | {text: pa.array(new, pa.string())})
 
     return wide.mapInArrow(run, df.schema)

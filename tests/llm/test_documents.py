@@ -239,6 +239,22 @@ def test_repeats(spark):
     assert substring_dedup.find_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_over_short_lines_and_inside_a_long_one(spark):
+    r = np.random.default_rng(31)
+    line = lambda n: " ".join(f"u{r.integers(1, 10**6)}" for _ in range(n))
+    shared, less = line(55).split(), line(50)
+    over = "\n".join(" ".join(shared[i : i + 11]) for i in range(0, 55, 11))
+    inside = " ".join(shared)
+    rows = [(1, f"{line(8)}\n{over}\n{line(3)}"), (2, f"{line(60)} {inside} {line(25)}"), (3, f"{line(4)}\n{line(44)} {inside}"), (4, f"{line(60)} {less}"), (5, f"{less}\n{line(9)}"), (6, f"{inside}\n{inside}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = substring_dedup.find_repeats(df).collect()
+    got = {(x["doc_id"], x["paragraph"], x["first_word"], x["n_words"], x["class_doc_id"], x["class_paragraph"], x["removed"]) for x in out if x["first_word"] is not None}
+    assert got >= {(1, 1, 8, 55, 1, 1, False), (2, 0, 60, 55, 1, 1, True), (3, 1, 48, 55, 1, 1, True), (6, 0, 0, 55, 1, 1, True)} and not {x["doc_id"] for x in out} & {4, 5}
+    left = {x["doc_id"]: (x["text"] or "").split() for x in substring_dedup.remove_repeats(df).collect()}
+    assert left[1] == rows[0][1].split() and left[2] == [w for w in rows[1][1].split() if w not in shared] and left[3] == [w for w in rows[2][1].split() if w not in shared]
+    assert left[4] == rows[3][1].split() and left[6] == []
+
+
 def test_bands_reach_their_recall():
     r = np.random.default_rng(4)
     found = 0
