@@ -106,6 +106,20 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]
     common.trim()
 
 
+def _gathered(parts: Iterator[dict[str, pa.Array]], limit: int = 1 << 20) -> Iterator[dict[str, pa.Array]]:
+    """The same rows, those of several parts at once up to about ``limit``: few buckets of many rows are dealt."""
+    held: list[dict[str, pa.Array]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part["k"])
+        if size >= limit:
+            yield {c: pa.concat_arrays([x[c] for x in held]) for c in part}
+            held, size = [], 0
+    if held:
+        yield {c: pa.concat_arrays([x[c] for x in held]) for c in held[0]}
+
+
 def _several(hashes: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows, each place once, whose hash several keys have, and the first row of the same hash."""
     order = np.lexsort((place, rank, hashes))
@@ -126,7 +140,6 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     kind = df.schema[key].dataType.simpleString()
     parts = common.partitions(df.sparkSession)
-    many = 4 * parts
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, text):
@@ -135,14 +148,17 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
             if len(found):
                 keys = batch.column(key).take(pa.array(rows[at]))
                 place = pa.array((at - first[rows[at]]).astype(np.int32))
-                yield _deal((textnp.mix(found) % np.uint64(many)).astype(np.int64), {"h": pa.array(found.view(np.int64)), "k": keys, "place": place})
+                yield _deal((textnp.mix(found) % np.uint64(parts)).astype(np.int64), {"h": pa.array(found.view(np.int64)), "k": keys, "place": place})
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         for b in _buckets(batches):
             at, _ = _several(b["h"].to_numpy(), _rank(b["k"]), b["place"].to_numpy())
             if len(at):
-                keys = b["k"].take(pa.array(at))
-                yield _deal(_spread(keys, many), {"k": keys, "place": b["place"].take(pa.array(at))})
+                yield {c: b[c].take(pa.array(at)) for c in ("k", "place")}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(met(batches)):
+            yield _deal(_spread(b["k"], parts), b)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _buckets(batches):
@@ -168,16 +184,19 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
             if len(found):
                 columns = {"place": at - first[of], "line": line[at], "last": line[at + RUN - 1]}
                 packed = {c: pa.array(x.astype(np.int32)) for c, x in columns.items()}
-                group = (textnp.mix(found) % np.uint64(many)).astype(np.int64)
+                group = (textnp.mix(found) % np.uint64(parts)).astype(np.int64)
                 yield _deal(group, {"h": pa.array(found.view(np.int64)), "k": batch.column(key).take(pa.array(of)), **packed})
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         for b in _buckets(batches):
             at, first = _several(b["h"].to_numpy(), _rank(b["k"]), b["place"].to_numpy())
             if len(at):
                 own, there = pa.array(at), pa.array(first)
-                columns = {c: b[c].take(own) for c in ("k", "place", "line", "last")} | {f"first_{c}": b[c].take(there) for c in ("k", "place", "line")}
-                yield _deal(_spread(columns["k"], many), columns)
+                yield {c: b[c].take(own) for c in ("k", "place", "line", "last")} | {f"first_{c}": b[c].take(there) for c in ("k", "place", "line")}
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(agreed(batches)):
+            yield _deal(_spread(b["k"], parts), b)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _buckets(batches):
