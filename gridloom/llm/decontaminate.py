@@ -5,7 +5,9 @@ Passages are windows of twice the longest item's words at half that stride, so e
 place where an item could stand lies whole in some window.  An item's score is its
 BM25 sum over the distinct words of the passage that it holds, divided by the
 item's score for its own text: 1 for a passage that holds all its words.  All items
-of at least ``threshold`` are retrieved, not a top k.
+of at least ``threshold`` are retrieved, not a top k; where the overlap test below could
+pass with a lower score, that lower bound is the item's threshold, so nothing that
+overlaps enough is lost.
 
 Postings are in item order and cut into blocks of items; terms have their largest
 impact overall and in each block.  A batch of passages first sums these bounds at
@@ -37,6 +39,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.75, 0.75
 BLOCK = 8
+#: Question words times runs up to which the least score is exact, as far as it goes by places.
+LONG = 1 << 20
 #: Text bytes of the test items in one index, about 30 times that in memory; more items make more indexes, used in turn.
 INDEX_BYTES = 4 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -74,24 +78,114 @@ class Item:
         return float(np.isin(self.asked, there).mean()) if len(self.asked) else 0.0, float(np.isin(self.answer, passage).mean()) if len(self.answer) else 0.0
 
 
+class Counts:
+    """What scores need of all items, however many indexes they go to: terms with their items, number, mean and greatest length."""
+
+    def __init__(self) -> None:
+        self.n, self.total, self.longest = 0, 0, 1
+        self.terms, self.df = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._new: list[np.ndarray] = []
+        self._held = 0
+
+    def add(self, words: np.ndarray) -> None:
+        self.n, self.total, self.longest = self.n + 1, self.total + len(words), max(self.longest, len(words))
+        self._new.append(np.unique(words))
+        self._held += len(self._new[-1])
+        if self._held > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        found, counts = np.unique(np.concatenate(self._new), return_counts=True) if self._new else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.terms, place = np.unique(np.concatenate([self.terms, found]), return_inverse=True)
+        self.df = np.bincount(place, weights=np.concatenate([self.df, counts]), minlength=len(self.terms)).astype(np.int64)
+        self._new, self._held = [], 0
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
+def _least_runs(weights: np.ndarray, size: int, k: int) -> float:
+    """The least weight of the words that ``k`` of the runs of ``size`` words cover."""
+    n = len(weights) - size + 1
+    ends = np.concatenate([[0.0], np.cumsum(weights)])
+    far = np.full(k + 1, np.inf)  # by number of runs: the least among those that end before the next one begins
+    far[0] = 0.0
+    recent: list[np.ndarray] = []
+    least = np.inf
+    for i in range(n):
+        if len(recent) == size:
+            far = np.minimum(far, recent.pop(0))
+        now = np.full(k + 1, np.inf)
+        now[1:] = far[:-1] + (ends[i + size] - ends[i])
+        for back, before in enumerate(reversed(recent), 1):
+            now[1:] = np.minimum(now[1:], before[:-1] + (ends[i + size] - ends[i + size - back]))
+        recent.append(now)
+        least = min(least, now[k])
+    return float(least)
+
+
+def least_score(item: Item, terms: np.ndarray, impact: np.ndarray) -> float:
+    """A score that no passage is below which overlaps the item enough; ``impact`` is that of its sorted distinct words.
+
+    The question's runs are chosen as cheaply as possible.  A word at several places
+    counts in equal parts, and one of both question and answer only for the question, so
+    the true sum can only be greater.  For very long questions the
+    choice is relaxed to one of words: a missing word takes all its runs with it, and a
+    run has ``size`` words.
+    """
+
+    def cheapest(weights: np.ndarray) -> float:
+        return float(np.sort(weights)[: int(np.ceil(ANSWER * len(weights) - 1e-9))].sum())
+
+    answer = impact[np.searchsorted(terms, item.answer)]
+    own, place, times = np.unique(item.question, return_inverse=True, return_counts=True)
+    weights = impact[np.searchsorted(terms, own)]
+    size, k = min(5, len(item.question)), int(np.ceil(QUESTION * len(item.asked) - 1e-9))
+    if len(item.question) * k <= LONG:
+        asked = _least_runs((weights / times)[place], size, k)
+    else:
+        runs = len(item.question) - size + 1
+        per = np.array([min(size, i + 1, len(item.question) - i, runs) for i in range(len(item.question))])
+        cost = np.bincount(place, weights=per) / times  # no more than the distinct runs of the word times their copies
+        room, lost = size * (runs - k), 0.0
+        for i in np.argsort(cost / np.maximum(weights, 1e-300), kind="stable").tolist():
+            part = min(1.0, room / cost[i])
+            lost, room = lost + part * weights[i], room - part * cost[i]
+            if room <= 0:
+                break
+        asked = float(weights.sum()) - lost
+    both = np.isin(item.answer, own)
+    return max(0.0, asked + cheapest(np.where(both, 0.0, answer)), cheapest(answer))
+
+
 class Index:
-    """Impact-ordered bounds over item-ordered postings; ids and texts of the items are given in id order."""
+    """Impact-ordered bounds over item-ordered postings; ids and texts of the items are given in id order.
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    ``counts`` are those of all items, if these are a part of them.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], counts: Counts | None = None) -> None:
         self.ids = np.array(ids, dtype=np.int64)
         self.items = [Item(t) for t in texts]
+        if counts is None:
+            counts = Counts()
+            for x in self.items:
+                counts.add(x.words)
+            counts.settle()
         lengths = np.array([len(x.words) for x in self.items], dtype=np.float64)
-        self.longest = int(lengths.max(initial=1))
+        self.longest = counts.longest
         pairs = [np.unique(x.words, return_counts=True) for x in self.items]
         words = np.concatenate([w for w, _ in pairs]) if pairs else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(pairs)), [len(w) for w, _ in pairs])
         tf = np.concatenate([c for _, c in pairs]).astype(np.float64) if pairs else np.empty(0)
         self.terms, term = np.unique(words, return_inverse=True)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(pairs) - df + 0.5) / (df + 0.5))
-        mean = max(lengths.mean(), 1.0) if len(pairs) else 1.0
+        df = counts.of(self.terms)
+        idf = np.log1p((counts.n - df + 0.5) / (df + 0.5))
+        mean = max(counts.total / counts.n, 1.0) if counts.n else 1.0
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact /= np.bincount(item, weights=impact, minlength=len(pairs))[item]
+        ends = np.cumsum([len(w) for w, _ in pairs])
+        self.least = np.array([least_score(x, w, impact[z - len(w) : z]) for x, (w, _), z in zip(self.items, pairs, ends, strict=True)])
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
         self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
@@ -111,11 +205,16 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         return np.where(self.terms[at] == words, at, -1)
 
-    def promising(self, term: np.ndarray, passage: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """The passages of 0..n-1 and blocks whose bound reaches the threshold; pairs of term and passage are distinct."""
-        slack = threshold - 1e-9
+    def needed(self, threshold: float) -> np.ndarray:
+        """The score that each item must reach: the threshold, or less if less can be an overlap."""
+        return np.minimum(threshold, self.least)
+
+    def promising(self, term: np.ndarray, passage: np.ndarray, n: int, threshold: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages of 0..n-1 and blocks whose bound reaches the threshold, one or each item's; pairs of term and passage are distinct."""
+        slack = np.full(self.blocks, np.inf)
+        np.minimum.at(slack, np.arange(len(self.ids)) // BLOCK, np.broadcast_to(threshold, len(self.ids)) - 1e-9)
         bound = np.bincount(passage, weights=self.most[term], minlength=n)
-        ask = bound[passage] >= slack
+        ask = bound[passage] >= slack.min()
         term, passage = term[ask], passage[ask]
         found, width = [np.empty(0, np.int64)], max(1, (1 << 22) // self.blocks)
         for low in range(0, n, width):
@@ -125,12 +224,14 @@ class Index:
             before = np.cumsum(counts) - counts
             cell = np.repeat(self.block_first[t] - before, counts) + np.arange(int(counts.sum()))
             sums = np.bincount(np.repeat(p, counts) * self.blocks + self.block[cell], weights=self.block_max[cell])
-            found.append(np.flatnonzero(sums >= slack) + low * self.blocks)
+            found.append(np.flatnonzero((sums >= np.resize(slack, len(sums))) & (sums > 0)) + low * self.blocks)
         return np.divmod(np.concatenate(found), self.blocks)
 
-    def retrieve(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
+    def retrieve(self, terms: np.ndarray, block: int, threshold: float | np.ndarray) -> list[tuple[int, float]]:
         """WAND inside a block, by the block's bounds: its items whose score for these distinct terms reaches the threshold."""
-        slack = threshold - 1e-9
+        low = block * BLOCK
+        need = np.broadcast_to(threshold, len(self.ids))[low : low + BLOCK] - 1e-9
+        slack = float(need.min())
         wanted = terms * self.blocks + block
         cells = np.searchsorted(self.cell, wanted)
         cells = cells[self.cell[np.minimum(cells, len(self.cell) - 1)] == wanted]
@@ -165,7 +266,7 @@ class Index:
                 pivot += 1
             if lists[0][0] == at:
                 score = sum(float(impact[c[2]]) for c in lists[: pivot + 1])
-                if score >= slack:
+                if score >= need[at - low]:
                     out.append((at, score))
                 at += 1
             for c in lists[: pivot + 1]:
@@ -200,11 +301,12 @@ def search(index: Index, buf: np.ndarray, offsets: np.ndarray, threshold: float
     width = len(index.terms)
     pairs = np.unique(passage[have] * width + term[at[have]])
     passage, found = pairs // width, pairs % width
+    need = index.needed(threshold)
     hits: dict[tuple[int, int], tuple[float, float, float]] = {}
     by = np.searchsorted(passage, np.arange(len(first) + 1))
-    for p, block in zip(*(x.tolist() for x in index.promising(found, passage, len(first), threshold)), strict=True):
+    for p, block in zip(*(x.tolist() for x in index.promising(found, passage, len(first), need)), strict=True):
         inside = words[first[p] : end[p]]
-        for item, score in index.retrieve(found[by[p] : by[p + 1]], block, threshold):
+        for item, score in index.retrieve(found[by[p] : by[p + 1]], block, need):
             question, answer = index.items[item].overlaps(inside)
             if question >= QUESTION and answer >= ANSWER:
                 key = (int(of[p]), item)

@@ -298,6 +298,40 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.limit(0), benchmark).count() == 0 and decontaminate.find_leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leak_whose_rare_words_are_changed(spark):
+    words = [f"rare{i}" for i in range(5)] + [f"often{i}" for i in range(29)]
+    item = f"{' '.join(words[:24])}. {' '.join(words[24:])}."
+    items = [(0, item)] + [(i, " ".join(words[5 + (i + j) % 29] for j in range(12)) + f" own{i}") for i in range(1, 3000)]
+    changed = item
+    for i in range(5):
+        changed = changed.replace(f"rare{i} ", f"other{i} ")
+    df = spark.createDataFrame([(1, changed), (2, "often1 often7 own9")], "doc_id bigint, text string")
+    out = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).where("item_id = 0").collect()
+    assert [(r["doc_id"], r["question_overlap"], r["answer_overlap"]) for r in out] == [(1, 0.75, 1.0)] and out[0]["score"] < decontaminate.THRESHOLD
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_no_overlap_is_below_the_least_score(seed):
+    r = np.random.default_rng(seed)
+    say = lambda n: [f"z{min(int(r.zipf(1.3)), 300)}" for _ in range(n)]
+    texts = [f"{' '.join(say(r.integers(3, 30)))}. {' '.join(say(r.integers(1, 9)))}" for _ in range(12)]
+    index = decontaminate.Index(list(range(12)), texts)
+    for k, text in enumerate(texts):
+        for _ in range(20):
+            w = text.split()
+            a, b = sorted(r.integers(0, len(w) + 1, 2))
+            if b - a < len(w) / 3:
+                w[a:b] = ["none"] * (b - a)
+            passage = decontaminate._words(" ".join(w))
+            question, answer = index.items[k].overlaps(passage)
+            mine = np.isin(index.terms[np.array([t for t in range(len(index.terms)) if k in index.item[index.first[t] : index.first[t + 1]]])], passage)
+            weights = [index.impact[index.first[t] : index.first[t + 1]][index.item[index.first[t] : index.first[t + 1]] == k] for t in range(len(index.terms))]
+            score = np.concatenate([x for x in weights if len(x)])[mine].sum()
+            if question >= decontaminate.QUESTION and answer >= decontaminate.ANSWER:
+                assert score >= index.least[k] - 1e-9
+
+
 def test_wand_retrieves_all_above_the_threshold(spark):
     _, items, _, _ = leak_tables(spark)
     index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
