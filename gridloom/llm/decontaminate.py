@@ -318,11 +318,16 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> l
     """The test items as broadcast indexes of at most ``INDEX_BYTES`` of text each (an item longer than that has one alone).
 
     Test sets are small next to any corpus; what is sent at once is bounded, and a set
-    of any size is covered.  Null ids, null texts and texts without words are no items.
+    of any size is covered.  All indexes score by the counts of all items.  Null ids, null texts and texts without words are no items.
     """
     spark = items.sparkSession
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
     out: list[Broadcast[Index]] = []
+    counts = Counts()
+    for _, t in rows.toLocalIterator():
+        if len(words := _words(t)):
+            counts.add(words)
+    counts.settle()
     ids: list[int] = []
     texts: list[str] = []
     held = 0
@@ -330,13 +335,13 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> l
         if not len(_words(t)):
             continue
         if texts and held + len(t.encode()) > INDEX_BYTES:
-            out.append(spark.sparkContext.broadcast(Index(ids, texts)))
+            out.append(spark.sparkContext.broadcast(Index(ids, texts, counts)))
             ids, texts, held = [], [], 0
         ids.append(i)
         texts.append(t)
         held += len(t.encode())
     if texts:
-        out.append(spark.sparkContext.broadcast(Index(ids, texts)))
+        out.append(spark.sparkContext.broadcast(Index(ids, texts, counts)))
     return out
 
 

@@ -332,6 +332,14 @@ def test_no_overlap_is_below_the_least_score(seed):
                 assert score >= index.least[k] - 1e-9
 
 
+def test_several_indexes_are_one(spark, monkeypatch):
+    _, _, df, benchmark = leak_tables(spark)
+    rows = lambda: sorted((str(r["doc_id"]), r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"]) for r in decontaminate.find_leaks(df, benchmark).collect())
+    one = rows()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 500)
+    assert len(decontaminate.indexes(benchmark)) > 5 and rows() == one
+
+
 def test_wand_retrieves_all_above_the_threshold(spark):
     _, items, _, _ = leak_tables(spark)
     index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
