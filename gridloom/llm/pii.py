@@ -4,7 +4,8 @@ The base patterns are exact, but a greedy match that fails its check takes what
 covers with it.  The field adds what they miss: it scores whole candidate segments
 (shape, digit groups, checksum, surroundings), and dynamic programming over segments
 of at most ``MAX_ATOMS`` atoms picks boundaries and types together.  It looks at every
-stretch of text that holds enough digits, an ``@`` or a long mixed word; elsewhere no
+stretch of text that holds enough digits, an ``@``, a long mixed word or a secret's name
+with ``=`` or a quoted value; elsewhere no
 segment can be an entity, so the best labelling is empty there.
 
 The weights are trained here, by maximum likelihood with forward-backward sums, on
@@ -91,10 +92,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_ATOM = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
+# A segment begins and ends beside white space or a sign, so no entity ends inside a run of these characters.
+_ATOM = re.compile(r"(?:[^\W\d_]|[0-9_-])+|\s+|.", re.DOTALL)
 _BEFORE, _AFTER = frozenset("\"'(<[{=:,;|*#$%&"), frozenset("\"')>]}.,;:!?|*#$%&")
 _MARK = re.compile(r"[0-9@]")
 _LONG = re.compile(r"[A-Za-z0-9_-]{10,}")
+_NAMED = re.compile(r"(?<![A-Za-z])(?:password|passwd|secret|token|api_?key|key|api)[\"']?\s{0,3}(?:=\s{0,3}[\"']?|:\s{0,3}[\"'])([A-Za-z0-9_-]{8,})", re.IGNORECASE)
 
 
 def _collapse(text: str, counted: bool) -> str:
@@ -120,17 +123,18 @@ class Window:
         begin = [not a.isspace() and (i == 0 or atom[i - 1].isspace() or atom[i - 1] in _BEFORE) for i, a in enumerate(atom)]
         end = [not a.isspace() and (i == n - 1 or atom[i + 1].isspace() or atom[i + 1] in _AFTER) for i, a in enumerate(atom)]
         self.n = n
+        named = {m.end() for m in _NAMED.finditer(text)}
         self.segments: list[tuple[int, int]] = []
         self.features: list[list[str]] = []
         for i in range(n):
             if not begin[i]:
                 continue
             for j in range(i, min(n, i + MAX_ATOMS)):
-                if "\n" in atom[j] or self.ends[j] - self.starts[i] > MAX_CHARS:
+                if "\n" in atom[j] or j > i and self.ends[j] - self.starts[i] > MAX_CHARS:  # one atom can have any length
                     break
                 if end[j]:
                     span = text[self.starts[i] : self.ends[j]]
-                    if _MARK.search(span):
+                    if _MARK.search(span) or self.ends[j] in named:
                         self.segments.append((i, j + 1))
                         self.features.append(self._features(span, self.starts[i], self.ends[j]))
 
@@ -244,7 +248,7 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
             return card()
         if kind == "phone":
             return r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"])
-        return r.choice([f"password={of('0123456789abcdef', r.randint(10, 24))}", f"AKIA{of(string.ascii_uppercase + string.digits, 16)}", of("0123456789abcdef", r.choice([20, 32, 40])), f"ghp_{of(string.ascii_letters + string.digits, 36)}"])
+        return r.choice([f"password={of('0123456789abcdef', r.randint(10, 24))}", f"AKIA{of(string.ascii_uppercase + string.digits, 16)}", of("0123456789abcdef", r.choice([20, 32, 40, 64])), f"ghp_{of(string.ascii_letters + string.digits, 36)}"])
 
     def lookalike() -> str:
         return r.choice([
@@ -293,8 +297,9 @@ def trained(seed: int = 11, rounds: int = 14) -> Field:
             kind = gold.pop((window.starts[i], window.ends[j - 1]), None)
             if kind is not None:
                 target[k, kind] = 1.0
-        if not gold:
-            ready.append((window, [np.array([names[f] for f in x]) for x in window.features], target))
+        if gold:
+            raise ValueError(f"no candidate for {gold} of {window.text!r}")
+        ready.append((window, [np.array([names[f] for f in x]) for x in window.features], target))
     seen = np.full(field.weights.shape, 1e-2)
     order = random.Random(seed)
     for _ in range(rounds):
@@ -315,9 +320,12 @@ def trained(seed: int = 11, rounds: int = 14) -> Field:
 def stretches(text: str, context: int = 40, join: int = 30) -> Iterator[tuple[int, int]]:
     """Where entities can be: marks at most ``join`` characters apart, with their words and some before.
 
-    Needs seven digits, an @ or a long word with digits; fewer marks can't make an entity.
+    Needs seven digits, an @, a long word with digits or one after a secret's name; fewer marks can't make an entity.
     """
     marks = [m.start() for m in _MARK.finditer(text)]
+    named = {m.start(1) for m in _NAMED.finditer(text)}
+    if named:
+        marks = sorted({*marks, *named})
     i = 0
     while i < len(marks):
         j = i
@@ -328,7 +336,7 @@ def stretches(text: str, context: int = 40, join: int = 30) -> Iterator[tuple[in
             low -= 1
         while high < len(text) and high - marks[j] < MAX_CHARS and not text[high].isspace():
             high += 1
-        if j - i >= 6 or "@" in text[low:high] or any(_MARK.search(w) for w in _LONG.findall(text[low:high])):
+        if j - i >= 6 or any(m in named for m in marks[i : j + 1]) or "@" in text[low:high] or any(_MARK.search(w) for w in _LONG.findall(text[low:high])):
             start = max(0, low - context)
             while start > 0 and low - start < 2 * context and not text[start - 1].isspace():
                 start -= 1

@@ -93,6 +93,22 @@ def test_field_on_held_out_sentences():
     assert right / all_ > 0.97 and wrong / all_ < 0.02
 
 
+def test_long_secrets_are_found():
+    r = np.random.default_rng(8)
+    for size in (40, 64):
+        for k in range(100):
+            value = "".join(r.choice(list("0123456789abcdef"), size))
+            lead, tail = [("see ", " there"), ('token = "', '"'), ("commit ", "."), ("key: ", "")][k % 4]
+            text = f"some words before {lead}{value}{tail}"
+            at = text.index(value)
+            assert ("secret", at, at + size) in pii.all_spans(text, pii.trained())
+    text = "then password=abcdefabcdefabcd is set"
+    assert ("secret", 5, 30) in pii.all_spans(text, pii.trained())
+    for text in ('token = "abcdefabcdeabcdefabc"', 'a secret: "feedfacedeadbeefcafe" b'):
+        assert [k for k, _, _ in pii.all_spans(text, pii.trained())] == ["secret"]
+    assert pii.all_spans("the key: understanding of a secret: patience", pii.trained()) == []
+
+
 def test_best_segmentation_is_the_best():
     field = pii.trained()
     window = pii.Window('call +1 (212) 555-0143 4524132264652876 or "a1b2c3d4e5f6a7b8c9d0"')
