@@ -4,15 +4,22 @@ Points are inserted one by one: the triangles whose circumcircle holds the new p
 are found for all triangles at once and give way to a fan.  The outside is covered by
 triangles with a ghost corner, one on each hull edge, so there is no artificial outer
 triangle to distort the hull.  Ties are decided by insertion order, that is point_id.
+
+What is a tie is relative to the size of the determinants' terms.  If a point is lost
+by that, the tile is done again with exact signs.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 GHOST = -1
+#: A determinant counts as zero up to this share of its terms.
+TINY = 1e-13
 
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -20,21 +27,46 @@ def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
 
+def _signs(value: np.ndarray, terms: np.ndarray, corners: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """The signs of determinants of two or three corners and a point: zero within the tolerance, or exact ones."""
+    near = np.abs(value) <= TINY * terms
+    out = np.where(near, 0, np.sign(value))
+    if exact:
+        x, y = Fraction(float(q[0])), Fraction(float(q[1]))
+        for k in np.flatnonzero(near).tolist():
+            d = [(Fraction(float(a)) - x, Fraction(float(b)) - y) for a, b in corners[k]]
+            cross = lambda i, j: d[i][0] * d[j][1] - d[i][1] * d[j][0]  # noqa: B023, E731
+            if len(d) == 2:
+                sure = cross(0, 1)
+            else:
+                s = [a * a + b * b for a, b in d]
+                sure = s[0] * cross(1, 2) - s[1] * cross(0, 2) + s[2] * cross(0, 1)
+            out[k] = (sure > 0) - (sure < 0)
+    return out
+
+
 def triangulate(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise triangles of point indices; none if all points are on a line.  Points must differ."""
     n = len(points)
     if n < 3:
         return np.empty((0, 3), dtype=np.int64)
-    p = points - points.mean(axis=0)
-    scale = max(float(np.abs(p).max()), 1e-300)
-    p = p / scale
-    tiny = 1e-13
+    # A power of two: the coordinates keep all their digits.
+    p = np.ldexp(points, -int(np.frexp(max(float(np.abs(points - points.mean(axis=0)).max()), 1e-300))[1]))
     far = int(np.argmax(((p - p[0]) ** 2).sum(axis=1)))
     turn = _turn(p[0], p[far], p)
     third = int(np.argmax(np.abs(turn)))
     if abs(turn[third]) <= 1e-12:
         return np.empty((0, 3), dtype=np.int64)
     first = (0, far, third) if turn[third] > 0 else (0, third, far)
+    triangles = _inserted(p, first, exact=False)
+    if len(np.unique(triangles)) < n:
+        triangles = _inserted(p, first, exact=True)
+    return triangles
+
+
+def _inserted(p: np.ndarray, first: tuple[int, int, int], exact: bool) -> np.ndarray:
+    """The triangles after all points are inserted; without exact signs, a point that is a tie everywhere is left out."""
+    n = len(p)
     a, b, c = first
     triangles = np.array([[a, b, c], [b, a, GHOST], [c, b, GHOST], [a, c, GHOST]], dtype=np.int64)
     for k in range(n):
@@ -42,16 +74,18 @@ def triangulate(points: np.ndarray) -> np.ndarray:
             continue
         q = p[k]
         ghost = triangles[:, 2] == GHOST
-        d = p[np.where(triangles == GHOST, triangles[:, [0]], triangles)] - q
+        corners = p[np.where(triangles == GHOST, triangles[:, [0]], triangles)]
+        d = corners - q
         s = (d**2).sum(axis=2)
-        circle = (
-            s[:, 0] * (d[:, 1, 0] * d[:, 2, 1] - d[:, 1, 1] * d[:, 2, 0])
-            - s[:, 1] * (d[:, 0, 0] * d[:, 2, 1] - d[:, 0, 1] * d[:, 2, 0])
-            + s[:, 2] * (d[:, 0, 0] * d[:, 1, 1] - d[:, 0, 1] * d[:, 1, 0])
-        )
-        side = d[:, 0, 0] * d[:, 1, 1] - d[:, 0, 1] * d[:, 1, 0]
-        between = (d[:, 0] * d[:, 1]).sum(axis=1) < 0
-        bad = np.where(ghost, (side > tiny) | (np.abs(side) <= tiny) & between, circle > tiny)
+        left, right = d[:, [1, 0, 0], 0] * d[:, [2, 2, 1], 1], d[:, [1, 0, 0], 1] * d[:, [2, 2, 1], 0]
+        circle = (s * (left - right) * [1, -1, 1]).sum(axis=1)
+        terms = (s * (np.abs(left) + np.abs(right))).sum(axis=1)
+        bad = np.zeros(len(triangles), dtype=bool)
+        bad[~ghost] = _signs(circle[~ghost], terms[~ghost], corners[~ghost], q, exact) > 0
+        # The product of the first two corners is the last of the three.
+        side = _signs(left[ghost, 2] - right[ghost, 2], np.abs(left[ghost, 2]) + np.abs(right[ghost, 2]), corners[ghost][:, :2], q, exact)
+        between = (d[ghost, 0] * d[ghost, 1]).sum(axis=1) < 0
+        bad[ghost] = (side > 0) | (side == 0) & between
         if not bad.any():
             continue
         cavity = triangles[bad]

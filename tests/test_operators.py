@@ -352,3 +352,13 @@ def test_flow(spark):
     assert out[0] == (255, 255, 255) and out[1] == (255, 0, 0) and out[2] == (191, 0, 0)
     with pytest.raises(AssertionError):
         images.flow_image(raster_of(spark, [[1.0]]))
+
+
+def test_no_point_of_a_tight_cluster_is_lost():
+    r = np.random.default_rng(6)
+    for size in (1e-3, 1e-6, 1e-9):
+        points = np.vstack([r.random((60, 2)) * size, [[1.0, 0.7]], [[-0.4, 1.0]]])
+        found = triangulate(points)
+        assert set(found.ravel().tolist()) == set(range(len(points)))
+        a, b, c = (points[found[:, k]] for k in range(3))
+        assert (((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) > 0).all()
