@@ -106,7 +106,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]
     common.trim()
 
 
-def _gathered(parts: Iterator[dict[str, pa.Array]], limit: int = 1 << 20) -> Iterator[dict[str, pa.Array]]:
+def _gathered(parts: Iterator[dict[str, pa.Array]], limit: int = 1 << 16) -> Iterator[dict[str, pa.Array]]:
     """The same rows, those of several parts at once up to about ``limit``: few buckets of many rows are dealt."""
     held: list[dict[str, pa.Array]] = []
     size = 0
