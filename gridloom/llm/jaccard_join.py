@@ -3,7 +3,7 @@
 Two sets of at least that similarity share one of their first floor(n / 4) + 1
 elements in any order that all sets agree on; hot shingles come last in it, the others
 by hash.  So listing each set under these keys makes every link meet, exactly, and
-``near`` finds the links by verification and signature trees.
+the signature trees of ``near`` find the links.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ def _units(column: pa.Array) -> list[list[near.Unit]]:
     return [[(0, 0, s)] for s in textnp.shingle_sets(buf, offsets, SIZE)]
 
 
-def _prefixes(sets: list[np.ndarray], hot: np.ndarray) -> list[np.ndarray]:
+def _prefixes(sets: list[np.ndarray], hot: near.Hot) -> list[np.ndarray]:
     out = []
     for s in sets:
         size = len(s) - (3 * len(s) + 3) // 4 + 1
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-            late = hot[at] == s
-            s = np.concatenate([s[~late], s[late]])
+        at, late = hot.find(s)
+        if late.any():
+            s = np.concatenate([s[~late], s[late][np.argsort(hot.rank[at[late]])]])
         out.append(s[:size])
     return out
 
@@ -38,6 +37,14 @@ def _prefixes(sets: list[np.ndarray], hot: np.ndarray) -> list[np.ndarray]:
 SCHEME = near.Scheme(_units, lambda sets: sets, _prefixes)
 
 
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row, n, label (null without shingles) and the component's lowest key, of every row."""
+    found = near.classes(near.normal(df, key, text), SCHEME)
+    lowest = found.sets.groupBy("label").agg(F.min("lowest").alias("lowest"))
+    sets = found.sets.drop("lowest").join(lowest, "label").select("sid", "check", "label", "lowest")
+    return found.units.join(sets, ["sid", "check"], "left").select("key", "row", "n", "label", "lowest")
+
+
 def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id of every row.
 
@@ -45,33 +52,40 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A row without words (null or empty text) has no shingles and no links, so its own
     key.  Rows of equal sets are linked, repeated rows among them.  A null key is no
     candidate for the smallest: where a component has no other, its id is null.  An
-    empty table gives an empty one.
+    empty table gives an empty one; other columns, whatever their names, are left out.
     """
-    found = near.classes(df, SCHEME, key, text)
-    rows = found.units.select(F.col(key).alias("__key"), F.col("n").alias("n_shingles"), "sid")
-    labelled = rows.join(found.labels, "sid", "left").select("__key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "sid")).alias("label"))
-    lowest = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("__key").alias("lowest"))
-    out = labelled.join(lowest, "label", "left")
-    return out.select(F.col("__key").alias(key), "n_shingles", F.when(F.col("label").isNull(), F.col("__key")).otherwise(F.col("lowest")).alias("component_id"))
+    own = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("lowest"))
+    return _classes(df, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component: those whose key is its smallest, all columns.
+    """One row of ``df`` for each component, all columns: the one with the smallest key, of several the first by a hash of the text.
 
-    Rows of one key are one document; of several the first by text stays.  Rows with null
-    keys stay where a component has no other.
+    A document is a row: different texts of one key are documents of their own, and
+    repeated rows are copies, of which one stays (the smallest by the columns that can be
+    ordered).  A null key comes after all others.  Rows without words all stay.  An empty
+    table gives an empty one; the names of further columns don't matter.
     """
-    joined = common.cut(join_documents(df, key, text))
-    keep = joined.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"))
-    unique = joined.agg(F.count("*").alias("n"), F.count(key).alias("keys"), F.countDistinct(key).alias("distinct")).first()
-    out = df.join(keep.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    if unique["distinct"] < unique["keys"]:
-        first = F.struct(F.col(text), *[F.col(f"`{c}`") for c in df.columns if c != text])
-        repeated = joined.groupBy(key).count().where("count > 1").select(F.col(key).alias("__key"))
-        single = out.join(repeated, F.col(key) == F.col("__key"), "left_anti")
-        several = out.join(repeated, F.col(key) == F.col("__key"), "left_semi").groupBy(key).agg(F.min(first).alias("__row")).select("__row.*")
-        out = single.unionByName(several.select(*df.columns))
-    return out
+    rows = common.cut(_classes(df, key, text).where("label IS NOT NULL").select("key", "row", "label"))
+    place = F.struct(F.col("key").isNull(), "key", "row")
+    several = rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    gone = rows.join(several, "label").where(~place.eqNullSafe(F.col("first"))).select("key", "row").distinct()
+    repeated = common.cut(rows.groupBy("key", "row").count().where("count > 1").select("key", "row"))
+    hashed, k, r = common.fresh(df.columns, "row", "gone_key", "gone_row")
+    marked = df.withColumn(hashed, F.xxhash64(common.col(text)))
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(F.col("key").alias(k), F.col("row").alias(r))
+
+    same = common.col(key).eqNullSafe(F.col(k)) & (F.col(hashed) == F.col(r))
+    out = marked.join(named(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return out.drop(hashed)
+    whole = F.struct(*[common.col(c) for c in df.columns])
+    order = F.struct(*[common.col(f.name) for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+    single = out.join(named(repeated), same, "left_anti").drop(hashed)
+    several = out.join(named(repeated), same, "left_semi").groupBy(common.col(key), F.col(hashed)).agg(F.min_by(whole, order).alias(r))
+    return single.union(several.select(*[F.col(r).getField(c).alias(c) for c in df.columns]))
 
 
 ORACLE_SQL = r"""

@@ -84,7 +84,7 @@ def bands(sets: list[np.ndarray]) -> list[np.ndarray]:
     return list(keys)
 
 
-SCHEME = near.Scheme(paragraphs, bands, lambda sets, hot: bands(sets))
+SCHEME = near.Scheme(paragraphs, bands, lambda sets, _: bands(sets))
 
 
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,8 +101,8 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     begins.  Passages all of whose lines are there as paragraphs, and as removed ones if
     they are removed, are left out.
     """
-    found = near.classes(df, SCHEME, key, text)
-    units = found.units.join(found.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    found = near.classes(near.normal(df, key, text), SCHEME)
+    units = found.units.join(found.sets.select("sid", "check", "label"), ["sid", "check"]).select(F.col("key").alias(key), "place", "n_words", "label")
     several = units.groupBy("label").agg(F.count("*").alias("size"), F.min(F.struct(key, "place")).alias("first")).where("size > 1")
     rows = units.join(several, "label")
     same = F.col(key).eqNullSafe(F.col(f"first.{key}")) & (F.col("place") == F.col("first.place"))

@@ -185,48 +185,88 @@ def chains(n_groups=6, length=40, seed=2):
     return [rows[i] for i in order]
 
 
-@pytest.mark.parametrize("together", [2048, 6])
-def test_join_of_chains_needs_the_trees(spark, monkeypatch, together):
-    monkeypatch.setattr(near, "TOGETHER", together)  # few sets of a hot key meet: its lists are split
-    monkeypatch.setattr(near, "TURNS", 0)  # no pivots: the signature trees find every pair
+@pytest.mark.parametrize(("together", "rate"), [(2048, 64), (6, 64), (6, 1)])
+def test_join_of_chains(spark, monkeypatch, together, rate):
+    monkeypatch.setattr(near, "TOGETHER", together)  # few sets meet: homes are in parts, and what lies between parts is found by the stragglers' trees
+    monkeypatch.setattr(near, "RATE", rate)  # all keys are counted: lists of frequent ones are split
+    monkeypatch.setattr(near, "WITNESSES", 1)
     rows = chains(4, 25)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert Counter(map(tuple, jaccard_join.join_documents(df).collect())) == brute_components(rows)
 
 
-def test_join_of_chains_with_pivots(spark):
-    rows = chains(3, 30, seed=5)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert Counter(map(tuple, jaccard_join.join_documents(df).collect())) == brute_components(rows)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(2, 60), st.booleans())
-def test_trees_name_every_linked_pair(seed, m, sided):
-    r = np.random.default_rng(seed)
+def some_sets(r, m):
     pool = r.integers(0, 2**63, 400, dtype=np.uint64)
     sets = []
     for _ in range(m):
         base = sets[r.integers(len(sets))] if sets and r.random() < 0.7 else r.choice(pool, r.integers(5, 60), replace=False)
         extra = r.integers(0, 2**63, r.integers(0, 4), dtype=np.uint64)
         sets.append(np.unique(np.concatenate([base[r.random(len(base)) < 0.95], extra, pool[:1]])))
-    label, side = r.integers(0, 5, m), r.integers(0, 2, m) if sided else None
+    return sets
+
+
+def similar(a, b):
+    both = len(np.intersect1d(a, b))
+    return 4 * both >= 3 * (len(a) + len(b) - both)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 60), st.booleans())
+def test_trees_lead_to_every_linked_pair(seed, m, sided):
+    r = np.random.default_rng(seed)
+    sets = some_sets(r, m)
+    side = r.integers(0, 2, m) if sided else None
     found = set()
-    for i, j in near.tree_pairs(np.array([len(s) for s in sets]), label, [near.bitmap(s) for s in sets], side=side):
-        found |= {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-    for i in range(m):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 4 * both >= 3 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j] and (side is None or side[i] != side[j]):
-                assert (j, i) in found
+
+    def meet(i, j):
+        assert not sided or (side[i] != side[j]).all()
+        found.update((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+    n, bits = np.array([len(s) for s in sets]), [near.bitmap(s) for s in sets]
+    near.dual(n, bits, 3, 4, lambda i, j: False, meet, side)
+    want = {(j, i) for i in range(m) for j in range(i) if similar(sets[i], sets[j]) and (not sided or side[i] != side[j])}
+    assert want <= found
+    if not sided:
+        assert {x for pair in want for x in pair} <= set(np.flatnonzero(near.paired(n, bits)).tolist())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 60), st.booleans())
+def test_join_makes_the_components(seed, m, sided):
+    r = np.random.default_rng(seed)
+    sets, label = some_sets(r, m), r.integers(0, max(2, m // 2), m)
+    side = r.integers(0, 2, m) if sided else None
+
+    def parts(links):
+        root = list(label)
+        for i, j in links:
+            a, b = root[i], root[j]
+            root = [b if x == a else x for x in root]
+        return len(set(root)), {(i, j) for i in range(m) for j in range(i) if root[i] == root[j]}
+
+    links = near.join(sets, label, side)
+    assert all(similar(sets[i], sets[j]) and (not sided or side[i] != side[j]) for i, j in links)
+    assert parts(links) == parts([(i, j) for i in range(m) for j in range(i) if similar(sets[i], sets[j]) and (not sided or side[i] != side[j])])
 
 
 def test_one_of_each(spark, documents):
-    df, _ = documents
+    df, rows = documents
     kept = jaccard_join.one_of_each(df)
     ids = Counter(r["doc_id"] for r in kept.collect())
     joined = Counter(r["doc_id"] for r in jaccard_join.join_documents(df).collect() if r["doc_id"] == r["component_id"])
     assert kept.columns == df.columns and set(ids) - {None} == set(joined) - {None} and max(ids.values()) == 1
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_tells_rows_of_one_key_apart(spark):
+    line = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(1, line("a"), 1), (1, line("b"), 2), (1, line("b"), 2), (2, line("b"), 3), (3, line("c"), 4), (3, line("c"), 5), (4, None, 6), (4, None, 6), (None, line("a"), 7), (None, line("d"), 8), (None, line("d").upper(), 9)]
+    df = spark.createDataFrame([(k, t, n, {"x": n}) for k, t, n in rows], "Gone_key bigint, text string, `label.n` int, row map<string,int>")
+    out = jaccard_join.one_of_each(df, "Gone_key")
+    got = Counter((r[0], (r[1] or "")[:1].lower(), r[2]) for r in out.collect())
+    assert out.columns == df.columns
+    last = [k for k in got if k[0] is None]
+    assert len(last) == 1 and last[0][1] == "d" and got - Counter(last) == Counter({(1, "a", 1): 1, (1, "b", 2): 1, (3, "c", 4): 1, (4, "", 6): 2})
 
 
 def paragraph_rows():
