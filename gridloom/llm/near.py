@@ -143,7 +143,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[_S
         of = pa.array(np.repeat(np.arange(len(units)), [len(u) for u in units]))
         flat = [u for some in units for u in some]
         sets = [u[2] for u in flat]
-        place, words = (np.array([u[k] for u in flat], dtype=np.int32) for k in (0, 1))
+        place, words = (np.array([u[k] for u in flat], dtype=kind) for k, kind in ((0, np.int64), (1, np.int32)))
         held.append(_Stretch(batch.column("key").take(of), batch.column("row").take(of), place, words, sets, set_ids(sets)))
         size += column.nbytes
         if size >= STRETCH:
@@ -177,7 +177,7 @@ def measure(df: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([s.key.cast(arrow), pa.nulls(more, arrow)]), pa.concat_arrays([s.row, pa.nulls(more, pa.int64())]),
-                    pa.array(np.concatenate([s.place, np.zeros(more, np.int32)])), pa.array(np.concatenate([s.words, np.zeros(more, np.int32)])),
+                    pa.array(np.concatenate([s.place, np.zeros(more, np.int64)])), pa.array(np.concatenate([s.words, np.zeros(more, np.int32)])),
                     pa.array(np.array([len(x) for x in s.sets] + [0] * more, dtype=np.int64)), pa.array(np.concatenate([s.ids[0], sids[chosen]])),
                     pa.array(np.concatenate([s.ids[1], keys[chosen].view(np.int64)])), pa.array(np.arange(n + more) >= n),
                     pa.array(bits + [None] * more, pa.binary()),
@@ -185,7 +185,7 @@ def measure(df: DataFrame, scheme: Scheme) -> DataFrame:
                 names=["key", "row", "place", "n_words", "n", "sid", "check", "counted", "bitmap"],
             )
 
-    schema = f"key {kind.simpleString()}, row bigint, place int, n_words int, n bigint, sid bigint, check bigint, counted boolean, bitmap binary"
+    schema = f"key {kind.simpleString()}, row bigint, place bigint, n_words int, n bigint, sid bigint, check bigint, counted boolean, bitmap binary"
     return common.cut(df.select("key", "row", "text").mapInArrow(run, schema))
 
 
@@ -315,7 +315,8 @@ def homes(found: DataFrame, holders: DataFrame) -> DataFrame:
     rows = rows.union(found.where("split").join(F.broadcast(firsts), F.col("home") == F.col("list")).select(F.col("least").alias("home"), "sid"))
     members = common.cut(rows.distinct().join(holders.select("sid", "uid", "n"), "sid").select("home", "uid", "n"))
     deal = F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(F.sum("n") / WEIGHT))
-    sizes = members.groupBy("home").agg(F.count("*").alias("size"), deal.cast("int").alias("parts")).where("size > 1").drop("size")
+    # Written, so that Spark can split a large home's members in the join.
+    sizes = common.cut(members.groupBy("home").agg(F.count("*").alias("size"), deal.cast("int").alias("parts")).where("size > 1").drop("size"))
     dealt = members.join(sizes, "home")
     rare = F.pmod(F.xxhash64("uid"), F.col("parts").cast("bigint") * (TOGETHER // WITNESSES)) == 0
     part = F.pmod(F.xxhash64("uid", "home"), F.col("parts").cast("bigint")).cast("int")

@@ -1,19 +1,23 @@
 """Runs of words that several rows share, wherever they stand: over lines or inside one.
 
-1.  Of every row's grams of ``GRAM`` words the least in each window of as many grams as a
-    run has is an anchor.  Rows that share ``RUN`` words share a window, thus an anchor.
-2.  Anchors that rows of several keys have are looked up in their texts again, which
+1.  Every run of ``RUN`` words is banded by the MinHash value of its grams of ``GRAM``
+    words: the least of them, its anchor.  Equal runs have equal anchors; neighbours mostly
+    share one, so anchors are few.
+2.  Places whose anchors rows of several keys have are looked up in their texts again, which
     gives every run of exactly ``RUN`` words around them.
 3.  Runs that rows of several keys have are kept with their first place, by key and
     place, and adjacent ones of one row and one first row become one passage.
 
-Rows on the way are packed by bucket, so the JVM doesn't see single words.
+Rows on the way are packed by bucket, so the JVM doesn't see single words.  What is very
+frequent is known from one in ``SAMPLE`` keys (a bounded number; it decides how rows are
+dealt, not what is found): such anchors needn't meet, since several keys are known to have
+them, and such runs get their first place by an aggregate.  Both are dealt by key.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from . import common, textnp
 #: Words of the shortest shared run, and of the grams that find it.
 RUN, GRAM = 51, 26
 REACH = RUN - GRAM + 1
+#: One key in so many tells what is frequent; how many of these keys must have it; how many hashes are kept.
+SAMPLE, LEAST, HOT = 256, 8, 1 << 18
 
 
 def _sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
@@ -82,13 +88,13 @@ def _deal(bucket: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *lists], names=["bucket", *columns])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-    """The values of each bucket, from batches sorted by bucket."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, pa.Array]]]:
+    """Each bucket and its values, from batches sorted by bucket."""
     held: list[pa.RecordBatch] = []
     now = None
 
-    def whole() -> dict[str, pa.Array]:
-        return {c: pa.concat_arrays([x.column(c).flatten() for x in held]) for c in held[0].schema.names if c != "bucket"}
+    def whole() -> tuple[int, dict[str, pa.Array]]:
+        return int(now), {c: pa.concat_arrays([x.column(c).flatten() for x in held]) for c in held[0].schema.names if c != "bucket"}
 
     for batch in batches:
         bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
@@ -132,27 +138,69 @@ def _several(hashes: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[n
     return order[keep], order[np.repeat(at, sizes)[keep]]
 
 
-def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per passage of ``RUN`` words or more that rows of several keys share.
-
-    ``key``, line and last_line, first_word and n_words, the same of the passage's first
+def _known(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the anchors, and of the runs, that many keys are known to have."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(batches, "text"):
+            words, rows, _, _ = _words(common.strings(batch.column("text")))
+            rank = _rank(batch.column("key"))
+            anchor, at = anchors(words, rows)
+            run, _, of = textnp.windows(words, rows, RUN)
+            for is_run, h, row in ((False, anchor, rows[at]), (True, run, of)):
+                if not len(h):
+                    continue
+                order = np.lexsort((rank[row], h))
+                h, row = h[order], row[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (rank[row[1:]] != rank[row[:-1]])])
+                h, row = h[new], row[new]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                last = np.append(first[1:], len(h)) - 1
+                keys = batch.column("key")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), is_run)), pa.array(h[first].view(np.int64)), pa.array((last - first + 1).astype(np.int64)), keys.take(pa.array(row[first])), keys.take(pa.array(row[last]))],
+                    names=["run", "h", "n", "low", "high"],
+                )
+
+    some = df.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("key", "text")
+    counts = some.mapInArrow(count, f"run boolean, h bigint, n bigint, low {kind}, high {kind}")
+    many = counts.groupBy("run", "h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= LEAST) & (F.col("low") < F.col("high")))
+    rows = many.orderBy(F.desc("n"), "h").limit(HOT).select("run", "h").toPandas()  # a bounded number; any choice gives the same result
+    hashes, is_run = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), rows["run"].to_numpy(dtype=bool)
+    return np.sort(hashes[~is_run]), np.sort(hashes[is_run])
+
+
+def shared_runs(df: DataFrame) -> DataFrame:
+    """One row per passage of ``RUN`` words or more that rows of several keys share; ``df`` has key and text.
+
+    key, line and last_line, first_word and n_words, the same of the passage's first
     place (first_key, first_line), and whether it is another place than that (removed).
     """
-    kind = df.schema[key].dataType.simpleString()
-    parts = common.partitions(df.sparkSession)
+    kind = df.schema["key"].dataType.simpleString()
+    spark = df.sparkSession
+    parts = common.partitions(spark)
+    hot = spark.sparkContext.broadcast(frequent(df))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, text):
-            words, rows, _, first = _words(common.strings(batch.column(text)))
+        for batch in common.steps(batches, "text"):
+            words, rows, _, first = _words(common.strings(batch.column("text")))
             found, at = anchors(words, rows)
             if len(found):
-                keys = batch.column(key).take(pa.array(rows[at]))
+                keys = batch.column("key").take(pa.array(rows[at]))
                 place = pa.array((at - first[rows[at]]).astype(np.int32))
-                yield _deal((textnp.mix(found) % np.uint64(parts)).astype(np.int64), {"h": pa.array(found.view(np.int64)), "k": keys, "place": place})
+                bucket = np.where(_known(hot.value[0], found), parts + _spread(keys, parts), (textnp.mix(found) % np.uint64(parts)).astype(np.int64))
+                yield _deal(bucket, {"h": pa.array(found.view(np.int64)), "k": keys, "place": place})
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        for b in _buckets(batches):
-            at, _ = _several(b["h"].to_numpy(), _rank(b["k"]), b["place"].to_numpy())
+        for bucket, b in _buckets(batches):
+            at = np.arange(len(b["k"])) if bucket >= parts else _several(b["h"].to_numpy(), _rank(b["k"]), b["place"].to_numpy())[0]
             if len(at):
                 yield {c: b[c].take(pa.array(at)) for c in ("k", "place")}
 
@@ -161,17 +209,17 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
             yield _deal(_spread(b["k"], parts), b)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _buckets(batches):
+        for _, b in _buckets(batches):
             rank, place = _rank(b["k"]), b["place"].to_numpy()
             order = np.lexsort((place, rank))
             at = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), pa.array(place[order]))
-            yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(order[at])), lists], names=["__key", "__at"])
+            yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(order[at])), lists], names=["key2", "at"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, text):
-            words, rows, line, first = _words(common.strings(batch.column(text)))
-            lists = batch.column("__at")
+        for batch in common.steps(batches, "text"):
+            words, rows, line, first = _words(common.strings(batch.column("text")))
+            lists = batch.column("at")
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             place = lists.flatten().to_numpy()[:, None] - np.arange(REACH)
             row = np.broadcast_to(row[:, None], place.shape)
@@ -184,11 +232,37 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
             if len(found):
                 columns = {"place": at - first[of], "line": line[at], "last": line[at + RUN - 1]}
                 packed = {c: pa.array(x.astype(np.int32)) for c, x in columns.items()}
-                group = (textnp.mix(found) % np.uint64(parts)).astype(np.int64)
-                yield _deal(group, {"h": pa.array(found.view(np.int64)), "k": batch.column(key).take(pa.array(of)), **packed})
+                keys = batch.column("key").take(pa.array(of))
+                bucket = np.where(_known(hot.value[1], found), parts + _spread(keys, parts), (textnp.mix(found) % np.uint64(parts)).astype(np.int64))
+                yield _deal(bucket, {"h": pa.array(found.view(np.int64)), "k": keys, **packed})
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = {c: batch.column(c).flatten() for c in ("h", "k", "place", "line")}
+            h = b["h"].to_numpy()
+            order = np.lexsort((b["place"].to_numpy(), _rank(b["k"]), h))
+            at = pa.array(order[np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]])
+            yield pa.RecordBatch.from_arrays([b[c].take(at) for c in b], names=list(b))
+
+    def gathered(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+    keys = f"bucket bigint, k array<{kind}>, place array<int>"
+    picked = df.select("key", "text").mapInArrow(pick, f"bucket bigint, h array<bigint>, k array<{kind}>, place array<int>")
+    at = common.cut(gathered(gathered(picked, meet, keys), spots, f"key2 {kind}, at array<int>"))
+    texts = df.select("key", "text").join(at, F.col("key").eqNullSafe(F.col("key2"))).select("key", "text", "at")
+    found = common.cut(texts.mapInArrow(grams, f"bucket bigint, h array<bigint>, k array<{kind}>, place array<int>, line array<int>, last array<int>"))
+    lowest = found.where(F.col("bucket") >= parts).mapInArrow(least, f"h bigint, k {kind}, place int, line int")
+    lowest = lowest.groupBy("h").agg(F.min(F.struct("k", "place", "line")).alias("first")).select("h", "first.*").orderBy("h")
+    firsts = spark.sparkContext.broadcast(lowest.toArrow().combine_chunks() if len(hot.value[1]) else None)  # at most HOT rows
 
     def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        for b in _buckets(batches):
+        for bucket, b in _buckets(batches):
+            if bucket >= parts:
+                there = pa.array(np.searchsorted(firsts.value["h"].to_numpy(), b["h"].to_numpy()))
+                table = {c: firsts.value[c].combine_chunks() for c in ("k", "place", "line")}
+                yield {c: b[c] for c in ("k", "place", "line", "last")} | {f"first_{c}": x.take(there).cast(b[c].type) for c, x in table.items()}
+                continue
             at, first = _several(b["h"].to_numpy(), _rank(b["k"]), b["place"].to_numpy())
             if len(at):
                 own, there = pa.array(at), pa.array(first)
@@ -199,33 +273,27 @@ def shared_runs(df: DataFrame, key: str, text: str) -> DataFrame:
             yield _deal(_spread(b["k"], parts), b)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _buckets(batches):
+        for _, b in _buckets(batches):
             n = len(b["k"])
             both = _rank(pa.concat_arrays([b["k"], b["first_k"]]))
             rank, other = both[:n], both[n:]
             place, shift = b["place"].to_numpy(), b["first_place"].to_numpy() - b["place"].to_numpy()
             order = np.lexsort((shift, other, place, rank))
             rank, other, place, shift = rank[order], other[order], place[order], shift[order]
+            again = np.concatenate([[False], (rank[1:] == rank[:-1]) & (place[1:] == place[:-1]) & (other[1:] == other[:-1]) & (shift[1:] == shift[:-1])])  # of repeated rows
+            order, rank, other, place, shift = order[~again], rank[~again], other[~again], place[~again], shift[~again]
             new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])])
             begin = np.flatnonzero(new)
-            end = np.append(begin[1:], n) - 1
+            end = np.append(begin[1:], len(order)) - 1
             a, z = pa.array(order[begin]), pa.array(order[end])
             yield pa.RecordBatch.from_arrays(
                 [
                     b["k"].take(a), b["line"].take(a), b["last"].take(z), b["place"].take(a), pa.array((end - begin + RUN).astype(np.int32)),
                     b["first_k"].take(a), b["first_line"].take(a), pa.array((rank[begin] != other[begin]) | (shift[begin] != 0)),
                 ],
-                names=[key, "line", "last_line", "first_word", "n_words", "first_key", "first_line", "removed"],
+                names=["key", "line", "last_line", "first_word", "n_words", "first_key", "first_line", "removed"],
             )
 
-    def gathered(rows: DataFrame, run, schema: str) -> DataFrame:
-        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-    keys = f"bucket bigint, k array<{kind}>, place array<int>"
-    picked = df.select(key, text).mapInArrow(pick, f"bucket bigint, h array<bigint>, k array<{kind}>, place array<int>")
-    at = common.cut(gathered(gathered(picked, meet, keys), spots, f"__key {kind}, __at array<int>"))
-    texts = df.select(key, text).join(at, F.col(key).eqNullSafe(F.col("__key"))).select(key, text, "__at")
-    found = texts.mapInArrow(grams, f"bucket bigint, h array<bigint>, k array<{kind}>, place array<int>, line array<int>, last array<int>")
     same = gathered(found, agree, f"{keys}, line array<int>, last array<int>, first_k array<{kind}>, first_place array<int>, first_line array<int>")
-    schema = f"`{key}` {kind}, line int, last_line int, first_word int, n_words int, first_key {kind}, first_line int, removed boolean"
+    schema = f"key {kind}, line int, last_line int, first_word int, n_words int, first_key {kind}, first_line int, removed boolean"
     return common.cut(gathered(same, passages, schema))

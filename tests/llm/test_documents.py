@@ -6,8 +6,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from gridloom.llm import decontaminate, jaccard_join, near, pii, quality, substring_dedup, url_rules
+from gridloom.llm import decontaminate, jaccard_join, near, pii, quality, runs, substring_dedup, url_rules
 from gridloom.llm.textnp import SPACE
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,7 +186,7 @@ def chains(n_groups=6, length=40, seed=2):
     return [rows[i] for i in order]
 
 
-@pytest.mark.parametrize(("together", "rate"), [(2048, 64), (6, 64), (6, 1)])
+@pytest.mark.parametrize(("together", "rate"), [(2048, 64), (6, 1)])
 def test_join_of_chains(spark, monkeypatch, together, rate):
     monkeypatch.setattr(near, "TOGETHER", together)  # few sets meet: homes are in parts, and what lies between parts is found by the stragglers' trees
     monkeypatch.setattr(near, "RATE", rate)  # all keys are counted: lists of frequent ones are split
@@ -311,6 +312,47 @@ def test_repeats_over_short_lines_and_inside_a_long_one(spark):
     assert left[4] == rows[3][1].split() and left[6] == []
 
 
+def brute_runs(rows, size=51):
+    """The words of each key that are in a run of ``size`` words that another key has, too."""
+    words = defaultdict(list)
+    for key, text in rows:
+        words[key].append(WORD.findall("".join(c.lower() if c.isascii() else c for c in text or "")))
+    having = defaultdict(set)
+    for key, texts in words.items():
+        for w in texts:
+            for i in range(len(w) - size + 1):
+                having[tuple(w[i : i + size])].add(key)
+    return {(key, j) for key, texts in words.items() for w in texts for i in range(len(w) - size + 1) if len(having[tuple(w[i : i + size])]) > 1 for j in range(i, i + size)}
+
+
+@pytest.mark.parametrize("sample", [(256, 8), (1, 2)])
+def test_passages_are_those_of_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(runs, "SAMPLE", sample[0])  # all keys tell what is frequent: frequent anchors and runs are dealt by key
+    monkeypatch.setattr(runs, "LEAST", sample[1])
+    r = np.random.default_rng(77)
+    say = lambda n: [f"r{r.integers(1, 10**6)}" for _ in range(n)]
+    shared = [say(int(r.integers(45, 140))) for _ in range(12)]
+    rows = []
+    for key in range(60):
+        out = say(int(r.integers(0, 80)))
+        for k in r.choice(12, r.integers(0, 4), replace=False):
+            low = int(r.integers(0, 20))
+            out += shared[k][low : low + int(r.integers(40, 130))] + say(int(r.integers(0, 30)))
+        rows.append((key if key % 20 else None, "".join(w + ("\n" if r.random() < 0.1 else " ") for w in out)))
+    rows += [rows[5], (5, rows[9][1]), (70, None), (71, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = runs.shared_runs(near.normal(df, "doc_id", "text")).collect()
+    assert {(x["key"], j) for x in found for j in range(x["first_word"], x["first_word"] + x["n_words"])} == brute_runs(rows)
+    assert all(x["n_words"] >= 51 for x in found) and any(not x["removed"] for x in found)
+
+
+def test_paragraphs_join_short_lines():
+    line = lambda n: " ".join(["w"] * n)
+    texts = ["\n".join(map(line, sizes)) for sizes in ([50], [10, 0, 20, 15, 30, 12, 9], [], [39], [5, 60, 20, 20])]
+    got = [[(p >> substring_dedup.LINES, p & 0xFFFFFF, n) for p, n, _ in units] for units in substring_dedup.paragraphs(pa.array(texts, pa.large_string()))]
+    assert got == [[(0, 1, 50)], [(0, 4, 45), (4, 2, 42)], [], [], [(1, 1, 60), (2, 2, 40)]]
+
+
 def test_bands_reach_their_recall():
     r = np.random.default_rng(4)
     found = 0
