@@ -39,11 +39,11 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class Family:
-    """Names of one pattern, and how a match becomes a spec."""
+    """Names of one form, and how a name becomes a spec, or None if it isn't of the form."""
 
     name: str
-    pattern: re.Pattern[str]
-    parse: Callable[[re.Match[str]], FeatureSpec]
+    form: str
+    parse: Callable[[str], FeatureSpec | None]
 
 
 @dataclass
@@ -54,8 +54,8 @@ class FeatureRegistry:
     fallback: Callable[[str], FeatureSpec] | None = None
 
     def register(self, family: Family) -> Family:
-        if any(f.pattern.pattern == family.pattern.pattern for f in self.families):
-            raise LookupFailed(f"a family with the pattern {family.pattern.pattern!r} is registered already")
+        if any(f.form == family.form for f in self.families):
+            raise LookupFailed(f"a family of the form {family.form!r} is registered already")
         self.families.append(family)
         return family
 
@@ -65,33 +65,38 @@ class FeatureRegistry:
         self.fallback = parse
 
     def feature(self, pattern: str, *, base: bool = False, requires: Callable[..., Sequence[str]] | None = None):
-        """Decorator: a function of the pattern's groups that returns a Column of the point table (``base``) or, given the rasters it requires, a raster.
+        """Decorator: a function of the groups of a regular expression that the whole name must match.
 
-        Without ``requires`` a derived feature needs what its group ``base_feature`` names.
+        It returns a Column of the point table (``base``) or, given the rasters it requires, a
+        raster.  Without ``requires`` a derived feature needs what its group ``base_feature`` names.
         """
+        compiled = re.compile(pattern)
 
         def add(f: Callable[..., Any]) -> Callable[..., Any]:
-            def parse(m: re.Match[str]) -> FeatureSpec:
+            def parse(name: str) -> FeatureSpec | None:
+                m = compiled.fullmatch(name)
+                if m is None:
+                    return None
                 args = m.groupdict()
                 if base:
-                    return FeatureSpec(m.string, f.__name__, args, column=lambda points: f(points, **args))
+                    return FeatureSpec(name, f.__name__, args, column=lambda points: f(points, **args))
                 needs = tuple(requires(**args)) if requires else ((args["base_feature"],) if args.get("base_feature") else ())
-                return FeatureSpec(m.string, f.__name__, args, needs, build=lambda fetch: f(*[fetch(n) for n in needs], **args))
+                return FeatureSpec(name, f.__name__, args, needs, build=lambda fetch: f(*[fetch(n) for n in needs], **args))
 
-            self.register(Family(f.__name__, re.compile(pattern), parse))
+            self.register(Family(f.__name__, pattern, parse))
             return f
 
         return add
 
     def match(self, name: str) -> FeatureSpec:
-        """The one family that matches the whole name, else the fallback."""
-        found = [(f, m) for f in self.families if (m := f.pattern.fullmatch(name))]
+        """What the one family that can read the whole name makes of it, else the fallback."""
+        found = [spec for family in self.families if (spec := family.parse(name)) is not None]
         if len(found) > 1:
-            raise LookupFailed(f"{name!r} matches several families: {', '.join(f.name for f, _ in found)}")
+            raise LookupFailed(f"{name!r} is read by several families: {', '.join(spec.family for spec in found)}")
         if found:
-            return found[0][0].parse(found[0][1])
+            return found[0]
         if self.fallback is None:
-            raise LookupFailed(f"no family matches {name!r}")
+            raise LookupFailed(f"no family reads {name!r}")
         return self.fallback(name)
 
     def copy(self) -> FeatureRegistry:
@@ -119,11 +124,14 @@ class StrategyRegistry:
             raise LookupFailed(f"no {self.kind.__name__} {key!r}; there are {', '.join(sorted(self.entries))}")
         return self.entries[key]
 
-    def key_of(self, strategy: type) -> str:
-        for key, s in self.entries.items():
-            if s is strategy:
-                return key
-        raise LookupFailed(f"{strategy.__name__} is not registered")
+    def key_of(self, strategy: Any) -> str:
+        """The key of a strategy or its class; of a class that isn't registered, that of the nearest base class that is."""
+        kind = strategy if isinstance(strategy, type) else type(strategy)
+        keys = {s: key for key, s in self.entries.items()}
+        for base in kind.__mro__:
+            if base in keys:
+                return keys[base]
+        raise LookupFailed(f"{kind.__name__} is not registered")
 
     def create(self, key: str, **options: Any) -> Any:
         """A strategy; options that it doesn't know are an error, or dropped with a warning if it says it takes any."""

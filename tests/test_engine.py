@@ -32,24 +32,35 @@ def args(name):
 @pytest.mark.parametrize(
     ("name", "family", "told", "needs"),
     [
-        ("range", "range_", {}, ()),
+        ("range", "range", {}, ()),
         ("scalar_field_a b", "scalar_field", {"field": "a b"}, ()),
         ("totally_unknown_feature", "scalar_field", {"field": "totally_unknown_feature"}, ()),
         ("gradient_z_range", "scalar_field", {"field": "gradient_z_range"}, ()),
-        ("gradient_x_gradient_y_range_px1", "gradient", {"axis": "x", "base_feature": "gradient_y_range", "spacing": "1"}, ("gradient_y_range",)),
-        ("sobel_y_log_range", "sobel", {"axis": "y", "base_feature": "log_range"}, ("log_range",)),
-        ("hillshade", "hillshade", {}, ("range",)),
-        ("hillshade_315", "hillshade", {"base_feature": "315"}, ("315",)),
-        ("hillshade_315_45", "hillshade", {"base_feature": "315", "azimuth": "45"}, ("315",)),
-        ("hillshade_range_315_45", "hillshade", {"base_feature": "range", "azimuth": "315", "altitude": "45"}, ("range",)),
-        ("hillshade_range_1_2_3_4", "hillshade", {"base_feature": "range_1", "azimuth": "2", "altitude": "3", "z": "4"}, ("range_1",)),
-        ("normalized_clip_range_5_95", "normalized", {"base_feature": "clip_range", "low": "5", "high": "95"}, ("clip_range",)),
-        ("normalized_clip_range_5_95_0_100", "normalized", {"base_feature": "clip_range_5_95", "low": "0", "high": "100"}, ("clip_range_5_95",)),
+        ("gradient_x_gradient_y_range_px1", "gradient", {"axis": "x", "base": "gradient_y_range", "spacing": 1.0}, ("gradient_y_range",)),
+        ("gradient_x_range_pxa", "gradient", {"axis": "x", "base": "range_pxa"}, ("range_pxa",)),
+        ("gradient_x_px2", "gradient", {"axis": "x", "base": "px2"}, ("px2",)),
+        ("sobel_y_log_range", "sobel", {"axis": "y", "base": "log_range"}, ("log_range",)),
+        ("hillshade", "hillshade", {"base": "range"}, ("range",)),
+        ("hillshade_315", "hillshade", {"base": "315"}, ("315",)),
+        ("hillshade_315_45", "hillshade", {"base": "315", "azimuth": 45.0}, ("315",)),
+        ("hillshade_range_315_45", "hillshade", {"base": "range", "azimuth": 315.0, "altitude": 45.0}, ("range",)),
+        ("hillshade_range_1_2_3_4", "hillshade", {"base": "range_1", "azimuth": 2.0, "altitude": 3.0, "z": 4.0}, ("range_1",)),
+        ("hillshade__5", "hillshade", {"base": "_5"}, ("_5",)),
+        ("normalized_clip_range_5_95", "normalized", {"base": "clip_range", "low": 5.0, "high": 95.0}, ("clip_range",)),
+        ("normalized_clip_range_5_95_0_100", "normalized", {"base": "clip_range_5_95", "low": 0.0, "high": 100.0}, ("clip_range_5_95",)),
+        ("normalized_5_95", "normalized", {"base": "5_95"}, ("5_95",)),
         ("clip_range", "scalar_field", {"field": "clip_range"}, ()),
-        ("multigrad_x_1", "multigrad", {"base_feature": "x", "sigmas": "1"}, ("x",)),
-        ("multigrad_x_range_1", "multigrad", {"axis": "x", "base_feature": "range", "sigmas": "1"}, ("range",)),
-        ("multigrad_scalar_field_2_1-2", "multigrad", {"base_feature": "scalar_field", "sigmas": "2", "options": "1-2"}, ("scalar_field",)),
-        ("multigradocc_y_range_1-2.5_soft0.4_mask", "multigradocc", {"axis": "y", "base_feature": "range", "sigmas": "1-2.5", "options": "soft0.4_mask"}, ("range",)),
+        ("clip_range_5", "scalar_field", {"field": "clip_range_5"}, ()),
+        ("average_(range)", "scalar_field", {"field": "average_(range)"}, ()),
+        ("sum_(a,)", "scalar_field", {"field": "sum_(a,)"}, ()),
+        ("norm_((a,b))", "norm", {"names": ("(a,b)",)}, ("(a,b)",)),
+        ("multigrad_x_1", "multigrad", {"base": "x", "scales": (1.0,), "options": ()}, ("x",)),
+        ("multigrad_x_range_1", "multigrad", {"axis": "x", "base": "range", "scales": (1.0,), "options": ()}, ("range",)),
+        ("multigrad_scalar_field_2_1-2", "multigrad", {"base": "scalar_field", "scales": (2.0,), "options": ("1-2",)}, ("scalar_field",)),
+        ("multigrad_a_1.5_2.5", "multigrad", {"base": "a_1.5", "scales": (2.5,), "options": ()}, ("a_1.5",)),
+        ("multigrad_range_1_mean.x", "scalar_field", {"field": "multigrad_range_1_mean.x"}, ()),
+        ("multigradocc_a_1.5_2.5", "multigradocc", {"base": "a", "scales": (1.5,), "options": ("2.5",)}, ("a",)),
+        ("multigradocc_y_range_1-2.5_soft0.4_mask", "multigradocc", {"axis": "y", "base": "range", "scales": (1.0, 2.5), "options": ("soft0.4", "mask")}, ("range",)),
     ],
 )
 def test_names(name, family, told, needs):
@@ -59,13 +70,10 @@ def test_names(name, family, told, needs):
 def test_lists_and_relief_names():
     assert FEATURES.match("average_(range, sum_(a,b),c)").requires == ("range", "sum_(a,b)", "c")
     assert grammar.split_names("a,(b,c),d ") == ["a", "(b,c)", "d"]
-    for bad in ("average_(range)", "sum_(a,)"):
-        with pytest.raises(ValueError):
-            FEATURES.match(bad)
     assert FEATURES.match("rrim").requires == ("range", "rrim_pack_(range,r16,d8,z1)")
     assert FEATURES.match("rrim_(intensity,r4,d4,sclip1-99,red0.5,z1e-05)").requires == ("intensity", "rrim_pack_(intensity,r4,d4,z1e-05)")
-    assert FEATURES.match("rrim_pack_(z1e5)").args["base_feature"] == "range" and FEATURES.match("rrim_pack_(z1e5)").args["settings"].z == 1e5
-    assert FEATURES.match("rrim_pack_(z1e5x)").args["base_feature"] == "z1e5x"
+    assert FEATURES.match("rrim_pack_(z1e5)").args["base"] == "range" and FEATURES.match("rrim_pack_(z1e5)").args["settings"].z == 1e5
+    assert FEATURES.match("rrim_pack_(z1e5x)").args["base"] == "z1e5x"
     assert FEATURES.match("rrim_component_(slope,range,r24,d16)").requires == ("range",)
     assert FEATURES.match("rrim_component_(structure,range,r24)").requires == ("rrim_pack_(range,r24,d8,z1)",)
     for bad in ("rrim_(range,what)", "rrim_(range,r0)", "rrim_(range,z0)", "rrim_component_(colour,range)", "rrim_(range,sclip9-1)"):
@@ -75,14 +83,20 @@ def test_lists_and_relief_names():
         settings = grammar.relief_settings(f"range,z{grammar.format_number(z)}")[1]
         assert settings.z == z and grammar.relief_settings(grammar.pack_name("range", settings)[11:-1])[1].z == z
     assert grammar.FEATURES.copy().match("rrim").family in ("scalar_field", "rrim")
+    for token, value in (("z1e5", 1e5), ("z-1.5E-3", -1.5e-3), ("z1e", None), ("z1e1.5", None), ("z.5", None), ("red+2", None)):
+        assert (grammar.read_option(token, grammar.RELIEF) or {}).get("z") == value
 
 
 def test_options():
-    assert grammar.multigrad_options("sum_RAW", None) == {"fuse": "sum", "scaled": False}
-    assert grammar.multigradocc_options("thresh0.5_sigmae1_dilate2_soft_mean") == {"threshold": 0.5, "edge_sigma": 1.0, "dilate": 2, "soft": 0.3, "fuse": "mean"}
-    for call in (lambda: grammar.multigrad_options("mag", "x"), lambda: grammar.multigrad_options("stack", None), lambda: grammar.multigradocc_options("threshx"), lambda: grammar.multigradocc_options("foo")):
+    assert grammar.read_options(["sum", "RAW"], grammar.FUSING + grammar.MAGNITUDE) == {"fuse": "sum", "scaled": False}
+    told = grammar.read_options("thresh0.5_sigmae1_dilate2_soft_mean".split("_"), grammar.FUSING + grammar.MASKING)
+    assert told == {"threshold": 0.5, "edge_sigma": 1.0, "dilate": 2, "soft": 0.3, "fuse": "mean"}
+    for bad in ("stack", "threshx", "foo", "dilate1.5", "thresh", ""):
         with pytest.raises(ValueError):
-            call()
+            grammar.read_options([bad], grammar.FUSING + grammar.MASKING)
+    for bad in ("multigrad_x_range_1_mag", "multigrad_range_1_stack", "multigradocc_range_1_mag"):
+        with pytest.raises(ValueError):
+            FEATURES.match(bad).build(lambda name: None)
 
 
 def test_registries():
@@ -106,7 +120,7 @@ def test_registries():
     ):
         with pytest.raises(error):
             call()
-    assert strategies.key_of(Orthographic) == "o" and strategies.coerce(("o", {"plane": "yz"})).plane == "yz" and strategies.coerce(Orthographic).plane == "xy"
+    assert strategies.key_of(Orthographic) == strategies.key_of(Orthographic()) == strategies.key_of(type("Own", (Orthographic,), {})) == "o" and strategies.coerce(("o", {"plane": "yz"})).plane == "yz" and strategies.coerce(Orthographic).plane == "xy"
 
     class Loose(Projection):
         def __init__(self, a=1, **more):
