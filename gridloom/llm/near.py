@@ -48,7 +48,7 @@ HOT = 1 << 18
 #: One in so many pairs of a key and a set is counted.
 RATE = 64
 #: Sets, and shingles, that meet in one task.
-TOGETHER, WEIGHT = 2048, 1 << 22
+TOGETHER, WEIGHT = 512, 1 << 22
 #: Text bytes whose sets are held at once.
 STRETCH = 4 << 20
 WITNESSES = 16
