@@ -1,8 +1,9 @@
 """Operator 10: benchmark decontamination by a BM25 index with block-max WAND.
 
 The test items are indexed; every passage of every training document is a query.
-Passages are windows of twice the longest item's words at half that stride, so each
-place where an item could stand lies whole in some window.  An item's score is its
+Items of similar length share an index.  Passages are windows of twice the words that its
+longest item may have, at half that stride, so each place where an item could stand lies
+whole in some window.  An item's score is its
 BM25 sum over the distinct words of the passage that it holds, divided by the
 item's score for its own text: 1 for a passage that holds all its words.  All items
 of at least ``threshold`` are retrieved, not a top k; where the overlap test below could
@@ -41,6 +42,8 @@ QUESTION, ANSWER = 0.75, 0.75
 BLOCK = 8
 #: Question words times runs up to which the least score is exact, as far as it goes by places.
 LONG = 1 << 20
+#: Most words of the items of an index, times four from one to the next.
+SHORT, STEP = 64, 4
 #: Text bytes of the test items in one index, about 30 times that in memory; more items make more indexes, used in turn.
 INDEX_BYTES = 4 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -79,16 +82,16 @@ class Item:
 
 
 class Counts:
-    """What scores need of all items, however many indexes they go to: terms with their items, number, mean and greatest length."""
+    """What scores need of all items, however many indexes they go to: terms with their items, number and mean length."""
 
     def __init__(self) -> None:
-        self.n, self.total, self.longest = 0, 0, 1
+        self.n, self.total = 0, 0
         self.terms, self.df = np.empty(0, np.uint64), np.empty(0, np.int64)
         self._new: list[np.ndarray] = []
         self._held = 0
 
     def add(self, words: np.ndarray) -> None:
-        self.n, self.total, self.longest = self.n + 1, self.total + len(words), max(self.longest, len(words))
+        self.n, self.total = self.n + 1, self.total + len(words)
         self._new.append(np.unique(words))
         self._held += len(self._new[-1])
         if self._held > 1 << 20:
@@ -158,6 +161,14 @@ def least_score(item: Item, terms: np.ndarray, impact: np.ndarray) -> float:
     return max(0.0, asked + cheapest(np.where(both, 0.0, answer)), cheapest(answer))
 
 
+def length_class(words: int) -> int:
+    """The most words of the items that an item of so many shares an index with."""
+    most = SHORT
+    while most < words:
+        most *= STEP
+    return most
+
+
 class Index:
     """Impact-ordered bounds over item-ordered postings; ids and texts of the items are given in id order.
 
@@ -173,7 +184,7 @@ class Index:
                 counts.add(x.words)
             counts.settle()
         lengths = np.array([len(x.words) for x in self.items], dtype=np.float64)
-        self.longest = counts.longest
+        self.longest = length_class(max((len(x.words) for x in self.items), default=1))
         pairs = [np.unique(x.words, return_counts=True) for x in self.items]
         words = np.concatenate([w for w, _ in pairs]) if pairs else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(pairs)), [len(w) for w, _ in pairs])
@@ -328,20 +339,24 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> l
         if len(words := _words(t)):
             counts.add(words)
     counts.settle()
-    ids: list[int] = []
-    texts: list[str] = []
-    held = 0
+    open_: dict[int, tuple[list[int], list[str], int]] = {}
+
+    def close(size: int) -> None:
+        ids, texts, _ = open_.pop(size)
+        out.append(spark.sparkContext.broadcast(Index(ids, texts, counts)))
+
     for i, t in rows.toLocalIterator():
-        if not len(_words(t)):
+        if not (n := len(_words(t))):
             continue
-        if texts and held + len(t.encode()) > INDEX_BYTES:
-            out.append(spark.sparkContext.broadcast(Index(ids, texts, counts)))
-            ids, texts, held = [], [], 0
+        size = length_class(n)
+        if size in open_ and open_[size][2] + len(t.encode()) > INDEX_BYTES:
+            close(size)
+        ids, texts, held = open_.get(size, ([], [], 0))
+        open_[size] = (ids, texts, held + len(t.encode()))
         ids.append(i)
         texts.append(t)
-        held += len(t.encode())
-    if texts:
-        out.append(spark.sparkContext.broadcast(Index(ids, texts, counts)))
+    for size in sorted(open_):
+        close(size)
     return out
 
 
@@ -351,29 +366,35 @@ LEAKS = "item_id bigint, score double, question_overlap double, answer_overlap d
 def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key``, item_id, score and both overlaps: one row per leak of a test item in a row of ``df``.
 
+    A key that has the name of another of these columns is given as ``row_<key>``; further columns are left out.
+
     Texts are searched whole; null texts hold nothing.  Repeated rows give repeated
     leaks, null keys are passed on.  An empty table on either side gives an empty one.
     Nothing is shuffled.
     """
     shared = indexes(items)
     kind = df.schema[key].dataType.simpleString()
+    name = f"row_{key}" if key.lower() in ("item_id", "score", "question_overlap", "answer_overlap") else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, text, 1 << 20):
-            buf, offsets = common.utf8(common.strings(batch.column(text)))
+        for batch in common.steps(batches, "text", 1 << 20):
+            buf, offsets = common.utf8(common.strings(batch.column("text")))
             for index in shared:
                 hits = search(index.value, buf, offsets, threshold)
                 if hits:
                     rows, found, *shares = zip(*hits, strict=True)
                     ids = pa.array(index.value.ids[list(found)], pa.int64())
-                    columns = [batch.column(key).take(pa.array(rows)), ids, *(pa.array(x, pa.float64()) for x in shares)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "score", "question_overlap", "answer_overlap"])
+                    columns = [batch.column("key").take(pa.array(rows)), ids, *(pa.array(x, pa.float64()) for x in shares)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[name, "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {LEAKS}")
+    return df.select(common.col(key).alias("key"), common.col(text).alias("text")).mapInArrow(run, f"`{name}` {kind}, {LEAKS}")
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that leak no test item, with all columns; rows are judged one by one."""
+    """The rows of ``df`` that leak no test item, with all columns, whatever their names.
+
+    Rows are judged one by one, null texts stay, and an empty table on either side is no matter.
+    """
     shared = indexes(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,17 @@ r"""Operator 6: personal data by base patterns and a semi-Markov conditional ran
 
 The base patterns are exact, but a greedy match that fails its check takes what it
 covers with it.  The field adds what they miss: it scores whole candidate segments
-(shape, digit groups, checksum, surroundings), and dynamic programming over segments
-of at most ``MAX_ATOMS`` atoms picks boundaries and types together.  It looks at every
+(shape, digit groups, checksum, surroundings) and each entity's kind by that of the entity
+before it, and dynamic programming over segments of at most ``MAX_ATOMS`` atoms picks
+boundaries and types together.  It looks at every
 stretch of text that holds enough digits, an ``@``, a long mixed word or a secret's name
 with ``=`` or a quoted value; elsewhere no
 segment can be an entity, so the best labelling is empty there.
 
 The weights are trained here, by maximum likelihood with forward-backward sums, on
-``TRAINING`` made-up sentences from a fixed seed, which bounds both time and size.
+``TRAINING`` made-up sentences from a fixed seed, which bounds both time and size.  A
+segment of several words has at most ``MAX_ATOMS`` atoms and ``MAX_CHARS`` characters; long
+stretches are labelled in pieces that overlap by more than that.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,14 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 TRAINING = 400
 MAX_ATOMS, MAX_CHARS = 24, 120
+#: No number of any kind has more digits.
+MOST_DIGITS = 20
 Span = tuple[str, int, int]
 
 # Fixed values of the contract.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The pattern of an ip is [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+); _ips finds its matches in runs of these characters.
+_DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -76,12 +83,31 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", high)
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the ip pattern, in time linear in the text: four groups of digits with one dot between."""
+    for run in _DOTTED.finditer(text):
+        parts = run[0].split(".")
+        if len(parts) < 4:
+            continue
+        at, have = run.start(), 0
+        first = at
+        for part in parts:
+            if not part:
+                have = 0
+            else:
+                first, have = (first, have + 1) if have else (at, 1)
+                if have == 4:
+                    yield first, at + len(part)
+                    have = 0
+            at += len(part) + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """The base patterns' matches by kind and start; matches that fail their check are dropped."""
     out: list[Span] = [("email", *s) for s in _emails(text)] if "@" in text else []
     if _DIGIT.search(text) is None:
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if octets(m[0].split("."))]
+    out += [("ip", a, b) for a, b in _ips(text) if octets(text[a:b].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -97,6 +123,7 @@ _ATOM = re.compile(r"(?:[^\W\d_]|[0-9_-])+|\s+|.", re.DOTALL)
 _BEFORE, _AFTER = frozenset("\"'(<[{=:,;|*#$%&"), frozenset("\"')>]}.,;:!?|*#$%&")
 _MARK = re.compile(r"[0-9@]")
 _LONG = re.compile(r"[A-Za-z0-9_-]{10,}")
+_OTHER = re.compile(r"[^0-9 .()+-]")
 _NAMED = re.compile(r"(?<![A-Za-z])(?:password|passwd|secret|token|api_?key|key|api)[\"']?\s{0,3}(?:=\s{0,3}[\"']?|:\s{0,3}[\"'])([A-Za-z0-9_-]{8,})", re.IGNORECASE)
 
 
@@ -124,19 +151,33 @@ class Window:
         end = [not a.isspace() and (i == n - 1 or atom[i + 1].isspace() or atom[i + 1] in _AFTER) for i, a in enumerate(atom)]
         self.n = n
         named = {m.end() for m in _NAMED.finditer(text)}
+        # Running counts over atoms: digits, dots, signs of an address, long words with digits, and what no number has.
+        count = lambda of: [0, *accumulate(map(of, atom))]
+        digits, dots, signs = count(lambda a: sum(c in string.digits for c in a)), count(lambda a: a == "."), count(lambda a: a == "@")
+        long = count(lambda a: len(a) >= 10 and _LONG.search(a) is not None and _MARK.search(a) is not None)
+        other = count(lambda a: _OTHER.search(a) is not None)
         self.segments: list[tuple[int, int]] = []
         self.features: list[list[str]] = []
+        #: (first atom, its segments, their ends)
+        self.by_start: list[tuple[int, np.ndarray, np.ndarray]] = []
         for i in range(n):
             if not begin[i]:
                 continue
+            first = len(self.segments)
             for j in range(i, min(n, i + MAX_ATOMS)):
                 if "\n" in atom[j] or j > i and self.ends[j] - self.starts[i] > MAX_CHARS:  # one atom can have any length
                     break
-                if end[j]:
-                    span = text[self.starts[i] : self.ends[j]]
-                    if _MARK.search(span) or self.ends[j] in named:
-                        self.segments.append((i, j + 1))
-                        self.features.append(self._features(span, self.starts[i], self.ends[j]))
+                have = digits[j + 1] - digits[i]
+                if other[j + 1] == other[i] and have > MOST_DIGITS:  # longer ones are no number of any kind either
+                    break
+                if not end[j]:
+                    continue
+                if have >= 7 or dots[j + 1] - dots[i] >= 3 and have >= 4 or signs[j + 1] > signs[i] or long[j + 1] > long[i] or self.ends[j] in named:
+                    self.segments.append((i, j + 1))
+                    self.features.append(self._features(text[self.starts[i] : self.ends[j]], self.starts[i], self.ends[j]))
+            if len(self.segments) > first:
+                own = np.arange(first, len(self.segments))
+                self.by_start.append((i, own, np.array([e for _, e in self.segments[first:]])))
 
     def _features(self, span: str, start: int, end: int) -> list[str]:
         digits = "".join(c for c in span if c in string.digits)
@@ -166,10 +207,10 @@ _SECRET_NAMES = ("password", "passwd", "secret", "token", "key", "apikey", "api"
 
 
 class Field:
-    """Feature weights by kind, and the sums and maxima over all segmentations of a window."""
+    """Feature weights by kind, weights of a kind after another (last row: after none), and the sums and maxima over all segmentations of a window."""
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray) -> None:
-        self.names, self.weights = names, weights
+    def __init__(self, names: dict[str, int], weights: np.ndarray, after: np.ndarray) -> None:
+        self.names, self.weights, self.after = names, weights, after
 
     def scores(self, window: Window) -> np.ndarray:
         out = np.zeros((len(window.segments), len(KINDS)))
@@ -181,47 +222,67 @@ class Field:
         """The best segmentation's entities, in the window's characters."""
         if not window.segments:
             return []
-        scores = self.scores(window)
-        kinds, tops = scores.argmax(axis=1), scores.max(axis=1)
+        scores, none = self.scores(window), len(KINDS)
+        # An entity changes what the next one is worth by ``swing`` at most.
+        swing = float((self.after.max(axis=0) - self.after.min(axis=0)).max())
         by_end: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(window.segments):
-            if tops[k] > 0:
-                by_end.setdefault(j, []).append(k)
-        value, choice = [0.0] * (window.n + 1), [-1] * (window.n + 1)
+        for k in np.flatnonzero((scores + self.after.max(axis=0)).max(axis=1) + swing > 0).tolist():
+            by_end.setdefault(window.segments[k][1], []).append(k)
+        if not by_end:
+            return []
+        value = np.full((window.n + 1, none + 1), -np.inf)
+        value[0, none] = 0.0
+        choice: list[dict[int, tuple[int, int]]] = [{} for _ in range(window.n + 1)]
         for j in range(1, window.n + 1):
             value[j] = value[j - 1]
             for k in by_end.get(j, ()):
-                if (v := value[window.segments[k][0]] + tops[k]) > value[j]:
-                    value[j], choice[j] = v, k
-        out, j = [], window.n
+                ways = value[window.segments[k][0]][:, None] + self.after
+                before = ways.argmax(axis=0)
+                total = ways[before, np.arange(none)] + scores[k]
+                for kind in np.flatnonzero(total > value[j, :none]).tolist():
+                    value[j, kind], choice[j][kind] = total[kind], (k, int(before[kind]))
+        out, j, state = [], window.n, int(value[window.n].argmax())
         while j:
-            if (k := choice[j]) < 0:
+            if state not in choice[j]:
                 j -= 1
-            else:
-                i, end = window.segments[k]
-                out.append((KINDS[kinds[k]], window.starts[i], window.ends[end - 1]))
-                j = i
+                continue
+            k, before_ = choice[j][state]
+            i, end = window.segments[k]
+            out.append((KINDS[state], window.starts[i], window.ends[end - 1]))
+            j, state = i, before_
         return out[::-1]
 
-    def marginals(self, window: Window) -> np.ndarray:
-        """The probability of each candidate segment with each kind."""
-        scores, n = self.scores(window), window.n
-        forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        forward[0] = backward[n] = 0.0
-        sums = np.logaddexp.reduce(scores, axis=1) if len(scores) else np.empty(0)
-        by_end: dict[int, list[int]] = {}
-        by_start: dict[int, list[int]] = {}
-        for k, (i, j) in enumerate(window.segments):
-            by_end.setdefault(j, []).append(k)
-            by_start.setdefault(i, []).append(k)
-        for j in range(1, n + 1):
-            forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[window.segments[k][0]] + sums[k] for k in by_end.get(j, ()))])
+    def marginals(self, window: Window, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each candidate segment with each kind, and the expected number of each kind after each."""
+        n, none = window.n, len(KINDS)
+        weight, after = np.exp(scores), np.exp(self.after)
+        forward, backward = np.zeros((n + 1, none + 1)), np.zeros((n + 1, none + 1))
+        forward[0, none] = backward[n] = 1.0
+        starts = {i: (own, ends) for i, own, ends in window.by_start}
+        enter = np.zeros((n + 1, none))
+        for i in range(n):
+            forward[i + 1] += forward[i]
+            if i in starts:
+                own, ends = starts[i]
+                enter[i] = forward[i] @ after
+                forward[ends, :none] += enter[i] * weight[own]
+        leave = np.zeros_like(scores)
+        pairs = np.zeros_like(after)
         for i in range(n - 1, -1, -1):
-            backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[window.segments[k][1]] + sums[k] for k in by_start.get(i, ()))])
-        out = np.zeros_like(scores)
-        for k, (i, j) in enumerate(window.segments):
-            out[k] = np.exp(forward[i] + scores[k] + backward[j] - forward[n])
-        return out
+            backward[i] = backward[i + 1]
+            if i in starts:
+                own, ends = starts[i]
+                leave[own] = weight[own] * backward[ends, :none]
+                all_ = leave[own].sum(axis=0)
+                backward[i] += after @ all_
+                pairs += forward[i][:, None] * after * all_
+        total = forward[n].sum()
+        of = np.array([i for i, _ in window.segments], dtype=np.int64)
+        return enter[of] * leave / total, pairs / total
+
+
+#: What often follows in made-up sentences: contacts, routes, payments, accounts.
+_COMPANION = {"email": "phone", "phone": "email", "ip": "ip", "card": "email", "secret": "ip"}
 
 
 def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
@@ -262,9 +323,10 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
         text, spans = "", []
         for _ in range(r.randint(2, 4)):
             text += " ".join(word() for _ in range(r.randint(0, 3))) + " "
+            kind = ""
             for _ in range(r.choice([1, 1, 1, 2])):
                 if r.random() < 0.62:
-                    kind = r.choice(KINDS)
+                    kind = _COMPANION[kind] if kind and r.random() < 0.5 else r.choice(KINDS)
                     value = entity(kind)
                     lead = ""
                     if kind == "secret" and "=" not in value and r.random() < 0.5:
@@ -288,32 +350,41 @@ def trained(seed: int = 11, rounds: int = 14) -> Field:
         for features in window.features:
             for f in features:
                 names.setdefault(f, len(names))
-    field = Field(names, np.zeros((len(names), len(KINDS))))
+    none = len(KINDS)
+    field = Field(names, np.zeros((len(names), none)), np.zeros((none + 1, none)))
     ready = []
     for window, spans in examples:
         gold = {(s, e): KINDS.index(kind) for kind, s, e in spans}
-        target = np.zeros((len(window.segments), len(KINDS)))
+        target, follows = np.zeros((len(window.segments), none)), np.zeros((none + 1, none))
+        before = none
+        for _, s, e in sorted(spans, key=lambda x: x[1]):
+            follows[before, gold[s, e]] += 1
+            before = gold[s, e]
         for k, (i, j) in enumerate(window.segments):
             kind = gold.pop((window.starts[i], window.ends[j - 1]), None)
             if kind is not None:
                 target[k, kind] = 1.0
         if gold:
             raise ValueError(f"no candidate for {gold} of {window.text!r}")
-        ready.append((window, [np.array([names[f] for f in x]) for x in window.features], target))
-    seen = np.full(field.weights.shape, 1e-2)
+        if not window.segments:
+            continue
+        ids = np.array([[names[f] for f in x] for x in window.features])
+        order_ = np.argsort(ids, axis=None, kind="stable")
+        own, at = np.unique(ids.ravel()[order_], return_index=True)
+        ready.append((window, ids, own, at, order_ // ids.shape[1], target, follows))
+    seen, seen_after = np.full(field.weights.shape, 1e-2), np.full(field.after.shape, 1e-2)
     order = random.Random(seed)
     for _ in range(rounds):
         order.shuffle(ready)
-        for window, ids, target in ready:
-            step = target - field.marginals(window)
-            gradient: dict[int, np.ndarray] = {}
-            for k in np.flatnonzero(np.abs(step).max(axis=1) > 1e-4):
-                for i in ids[k]:
-                    gradient[i] = gradient.get(i, 0.0) + step[k]
-            for i, g in gradient.items():
-                g = g - 1e-3 * field.weights[i]
-                seen[i] += g * g
-                field.weights[i] += 0.4 * g / np.sqrt(seen[i])
+        for window, ids, own, at, row, target, follows in ready:
+            found, pairs = field.marginals(window, field.weights[ids].sum(axis=1))
+            gradient = np.add.reduceat((target - found)[row], at, axis=0)
+            gradient -= 1e-3 * field.weights[own]
+            seen[own] += gradient**2
+            field.weights[own] += 0.4 * gradient / np.sqrt(seen[own])
+            step = follows - pairs - 1e-3 * field.after
+            seen_after += step**2
+            field.after += 0.1 * step / np.sqrt(seen_after)
     return field
 
 
@@ -329,14 +400,14 @@ def stretches(text: str, context: int = 40, join: int = 30) -> Iterator[tuple[in
     i = 0
     while i < len(marks):
         j = i
-        while j + 1 < len(marks) and marks[j + 1] - marks[j] <= join and marks[j + 1] - marks[i] < 4000:
+        while j + 1 < len(marks) and marks[j + 1] - marks[j] <= join:
             j += 1
         low, high = marks[i], marks[j] + 1
         while low > 0 and marks[i] - low < MAX_CHARS and not text[low - 1].isspace():
             low -= 1
         while high < len(text) and high - marks[j] < MAX_CHARS and not text[high].isspace():
             high += 1
-        if j - i >= 6 or any(m in named for m in marks[i : j + 1]) or "@" in text[low:high] or any(_MARK.search(w) for w in _LONG.findall(text[low:high])):
+        if j - i >= 6 or named and any(m in named for m in marks[i : j + 1]) or "@" in text[low:high] or any(_MARK.search(w) for w in _LONG.findall(text[low:high])):
             start = max(0, low - context)
             while start > 0 and low - start < 2 * context and not text[start - 1].isspace():
                 start -= 1
@@ -344,6 +415,34 @@ def stretches(text: str, context: int = 40, join: int = 30) -> Iterator[tuple[in
         i = j + 1
 
 
+#: Characters of a stretch that are labelled at once.
+PIECE = 4000
+
+
+def _labelled(text: str, low: int, high: int, field: Field) -> Iterator[Span]:
+    """The field's spans in a stretch.
+
+    A longer stretch is labelled in pieces: of each but the last only spans that end well before its
+    end are taken, and the next one begins before the first that isn't, with some text before it.
+    """
+    done = low
+    while True:
+        end = min(high, max(done, low) + PIECE)
+        start = max(low, done - MAX_CHARS)
+        found = [(k, s + start, e + start) for k, s, e in field.best(Window(text[start:end])) if s + start >= done]
+        sure = end - 2 * MAX_CHARS
+        taken = found if end == high else [x for x in found if x[2] <= sure]
+        yield from taken
+        if end == high:
+            return
+        later = [s for _, s, e in found if e > sure]
+        next_ = min([sure, *later])
+        if next_ <= done:  # one span over the whole piece
+            yield from [x for x in found if x not in taken]
+            next_ = end
+        done = max([next_, *(e for _, _, e in taken)])
+
+
 def all_spans(text: str, field: Field, base: list[Span] | None = None) -> list[Span]:
     """Base spans, and the field's spans that touch none of them, by kind and start."""
     found = base_spans(text) if base is None else base
@@ -352,7 +451,7 @@ def all_spans(text: str, field: Field, base: list[Span] | None = None) -> list[S
     for low, high in stretches(text):
         if added and added[-1][2] > low:
             low = added[-1][2]
-        added += [(k, s + low, e + low) for k, s, e in field.best(Window(text[low:high]))]
+        added += _labelled(text, low, high, field)
     free = [(k, s, e) for k, s, e in added if all(e <= a or b <= s for a, b in taken)]
     return sorted([*found, *free], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
@@ -382,12 +481,14 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with base counts, the base spans' digest and all spans.
 
     Spans are in code points, end exclusive.  Null texts count as empty.  Columns of the
-    new names are replaced.  Rows are independent; nothing is shuffled.
+    new names are replaced.  Rows are independent, so repeated ones get equal results, and
+    nothing is shuffled; texts are searched whole, in time linear in their length; an empty table
+    gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(trained())
     kept = [c for c in df.columns if c not in (*COLUMNS, text)]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {'bigint' if c[1] == '_' else 'string'}" for c in COLUMNS])
-    source = df.select(*[f"`{c}`" for c in [*kept, text]])
+    source = df.select(*[common.col(c) for c in [*kept, text]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, text):
@@ -406,7 +507,8 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
 def mask_pii(df: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """``df`` with all spans of ``text`` replaced by their kind in brackets; ``length`` names a column of its code points.
 
-    Null texts stay null.  All other columns are passed on as they are.
+    Null texts stay null.  All other columns are passed on as they are, whatever their names;
+    rows are independent, texts are masked whole, and an empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(trained())
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, IntegerType, LongType, StructField, StructType
 
 from . import common, textnp
 
@@ -167,25 +168,28 @@ def posterior(patterns: np.ndarray, false: np.ndarray, caught: np.ndarray, good:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the base counts, ``base_failed`` and the vote pattern as one number, base 3."""
-    kept = [c for c in df.columns if c not in (*COLUMNS, "pattern")]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} bigint" for c in MEASURED] + ["base_failed boolean, pattern int"])
-    source = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
+def measure(df: DataFrame, text: str, added: list[str], counts: bool) -> DataFrame:
+    """All columns of ``df`` and, under the names ``added``, the base counts (if wanted), whether the base filter fails, and the vote pattern as one number, base 3."""
+    names = df.columns
+    kinds = ["bigint"] * len(MEASURED) * counts + ["boolean", "int"]
+    schema = StructType([*df.schema.fields, *[StructField(n, _parse(k)) for n, k in zip(added, kinds, strict=True)]])
     places = 3 ** np.arange(len(RULES))
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, text):
-            f = features(common.strings(batch.column(text)))
-            added = {c: pa.array(f[c], pa.int64()) for c in MEASURED}
-            added |= {"base_failed": pa.array(base_failed(f)), "pattern": pa.array(votes(f) @ places, pa.int32())}
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | added)
+            f = features(common.strings(batch.column(at)))
+            new = [pa.array(f[c], pa.int64()) for c in MEASURED] if counts else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new, pa.array(base_failed(f)), pa.array(votes(f) @ places, pa.int32())], names=[*names, *added])
 
-    return source.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _parse(kind: str) -> DataType:
+    return {"bigint": LongType(), "boolean": BooleanType(), "int": IntegerType()}[kind]
 
 
 def model(measured: DataFrame) -> tuple[dict[str, Any], DataFrame]:
@@ -206,23 +210,28 @@ def judge_quality(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """``key``, the base counts, ``base_failed``, ``posterior`` (null if base_failed) and ``kept`` for every row.
 
     Null texts count as empty, which fails the base filter.  Null keys, repeated rows and
-    ties are no matter: rows are judged one by one, by what all rows' votes say.  An
-    empty table gives an empty one.  ``df`` is read once; its counts are checkpointed.
+    ties are no matter: rows are judged one by one, by what all rows' votes say; a posterior of
+    exactly a half keeps.  Texts are measured whole, however long.  An empty table gives an
+    empty one; columns but ``key`` and ``text`` are left out.  ``df`` is read once; its counts are
+    written to the checkpoint folder.
     """
-    measured = common.cut(measure(df.select(key, text), text).drop(text))
+    rows = df.select(common.col(key).alias("key"), common.col(text).alias("text"))
+    measured = common.cut(measure(rows, "text", [*MEASURED, "base_failed", "pattern"], True).drop("text"))
     _, posteriors = model(measured)
     judged = measured.join(F.broadcast(posteriors), "pattern", "left")  # bounded by the number of patterns
     judged = judged.withColumn("posterior", F.when(~F.col("base_failed"), F.col("posterior")))
-    return judged.select(key, *MEASURED, "base_failed", "posterior", (~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= 0.5)).alias("kept"))
+    return judged.select(F.col("key").alias(key), *MEASURED, "base_failed", "posterior", (~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= 0.5)).alias("kept"))
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``judge_quality`` keeps, with all columns; the texts are read twice, never shuffled."""
-    votes_only = measure(df.select(text), text).drop(text)
+    """The rows of ``df`` that ``judge_quality`` keeps, with all columns, whatever their names.
+
+    Null and empty texts fail the base filter and go; an empty table gives an empty one;
+    repeated rows share their fate.  The texts are read twice, never shuffled or written.
+    """
+    votes_only = measure(df.select(common.col(text).alias("text")), "text", ["base_failed", "pattern"], False).drop("text")
     _, posteriors = model(votes_only)
-    good = posteriors.where("posterior >= 0.5").select(F.col("pattern").alias("__pattern"))
-    measured = measure(df.select(*df.columns, F.col(text).alias("__text")), "__text")
-    names = [c for c in df.columns if c in measured.columns and c not in COLUMNS]
-    if len(names) != len(df.columns):
-        raise ValueError(f"the input has columns named as this operator's: {set(df.columns) - set(names)}")
-    return measured.where("NOT base_failed").join(F.broadcast(good), F.col("pattern") == F.col("__pattern"), "left_semi").select(*df.columns)
+    failed, pattern, good = common.fresh(df.columns, "base_failed", "pattern", "good_pattern")
+    kept = posteriors.where("posterior >= 0.5").select(F.col("pattern").alias(good))  # bounded by the number of patterns
+    measured = measure(df, text, [failed, pattern], False).where(~F.col(failed))
+    return measured.join(F.broadcast(kept), F.col(pattern) == F.col(good), "left_semi").drop(failed, pattern)
