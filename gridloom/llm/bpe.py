@@ -218,8 +218,8 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", add: t
 
     Digests are of the ids as little-endian 32-bit integers and of the decoded text in
     UTF-8, in lowercase hex.  Null texts count as empty: no ids, empty decoded text.
-    Repeated rows stay repeated; an empty table gives an empty one.  Rows are
-    independent, so nothing is shuffled.
+    Repeated rows stay repeated; an empty table gives an empty one; texts of any length are
+    encoded whole.  Rows are independent, so nothing is shuffled.
     """
     shared = Shared(df.sparkSession, tokenizer_path)
     kept = [c for c in df.columns if c not in add and (keep_text or c != text)]

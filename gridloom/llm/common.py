@@ -59,8 +59,7 @@ def scratch() -> Iterator[Scratch]:
         yield _open[-1]
     finally:
         for df in _open.pop().tables:
-            fs, path = _file_system(df.sparkSession, df._gridloom_path)  # type: ignore[attr-defined]
-            fs.delete(path, True)
+            discard(df.sparkSession, df._gridloom_path)  # type: ignore[attr-defined]
 
 
 def _file_system(spark: SparkSession, name: str) -> tuple:
@@ -68,6 +67,15 @@ def _file_system(spark: SparkSession, name: str) -> tuple:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def discard(spark: SparkSession, name: str, at_exit: bool = False) -> None:
+    """Delete a folder, now or when the application ends."""
+    fs, path = _file_system(spark, name)
+    if at_exit:
+        fs.deleteOnExit(path)
+    else:
+        fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again, which cuts its lineage.
 
@@ -79,8 +87,7 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     name = f"{spark.sparkContext.getCheckpointDir()}/gridloom-cut-{uuid.uuid4().hex}"
     df.write.parquet(name)
-    fs, path = _file_system(spark, name)
-    fs.deleteOnExit(path)
+    discard(spark, name, at_exit=True)
     out = spark.read.schema(df.schema).parquet(name)
     out._gridloom_path = name  # type: ignore[attr-defined]
     if _open:

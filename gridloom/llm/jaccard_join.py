@@ -68,7 +68,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     rows = common.cut(_classes(df, key, text).where("label IS NOT NULL").select("key", "row", "label"))
     place = F.struct(F.col("key").isNull(), "key", "row")
-    several = rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    # Written, so that Spark can split a large component's rows in the join.
+    several = common.cut(rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     gone = rows.join(several, "label").where(~place.eqNullSafe(F.col("first"))).select("key", "row").distinct()
     repeated = common.cut(rows.groupBy("key", "row").count().where("count > 1").select("key", "row"))
     hashed, k, r = common.fresh(df.columns, "row", "gone_key", "gone_row")

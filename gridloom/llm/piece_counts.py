@@ -84,7 +84,8 @@ def count_pieces(df: DataFrame, initial: set[str], inner: set[str], text: str =
 
     Words are runs of anything but ASCII spaces; a word that can't be split counts as
     one unknown piece.  Null texts count as empty.  Existing columns of the new
-    names are replaced.  Rows are independent; nothing is shuffled.
+    names are replaced.  Rows are independent, so repeated ones get equal counts, and nothing is
+    shuffled; texts of any length are counted whole; an empty table gives an empty one.
     """
     if len(initial) + len(inner) > MAX_ENTRIES:
         raise ValueError(f"more than {MAX_ENTRIES} entries")

@@ -155,7 +155,7 @@ class Window:
         count = lambda of: [0, *accumulate(map(of, atom))]
         digits, dots, signs = count(lambda a: sum(c in string.digits for c in a)), count(lambda a: a == "."), count(lambda a: a == "@")
         long = count(lambda a: len(a) >= 10 and _LONG.search(a) is not None and _MARK.search(a) is not None)
-        other = count(lambda a: _OTHER.search(a) is not None)
+        other, spaces = count(lambda a: _OTHER.search(a) is not None), count(str.isspace)
         self.segments: list[tuple[int, int]] = []
         self.features: list[list[str]] = []
         #: (first atom, its segments, their ends)
@@ -167,6 +167,8 @@ class Window:
             for j in range(i, min(n, i + MAX_ATOMS)):
                 if "\n" in atom[j] or j > i and self.ends[j] - self.starts[i] > MAX_CHARS:  # one atom can have any length
                     break
+                if j > i and spaces[j + 1] > spaces[i] and other[j + 1] > other[i]:  # of several words only numbers are one entity
+                    break
                 have = digits[j + 1] - digits[i]
                 if other[j + 1] == other[i] and have > MOST_DIGITS:  # longer ones are no number of any kind either
                     break

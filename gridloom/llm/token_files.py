@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenizers_io import Shared, library_tokenizer
+from .tokenizers_io import Shared, library_tokenizer, spec
 
 MAGIC, VERSION = b"GLTK", 1
 #: Stands for a null document id.
@@ -115,11 +115,36 @@ class TokenFile:
         return self.read(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+# Fixed value: the pattern of words, single digits and runs of signs that such files split by.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def declared(file: dict[str, Any]) -> tuple[bool, bool]:
+    """Whether a tokenizer's file says that white space parts what is encoded, and that case is folded.
+
+    Normalisers may only compose characters, make one space of white space, and fold case; the
+    pre-tokenizer must keep nothing but the matches of ``_SPLIT``, as bytes; the model must be
+    plain byte-pair merging without a choice of its own.  Anything else takes the library's whole path.
+    """
+
+    def flat(step: dict[str, Any] | None, inner: str) -> list[dict[str, Any]]:
+        return [] if step is None else step[inner] if step["type"] == "Sequence" else [step]
+
+    normal, pre, model = flat(file["normalizer"], "normalizers"), flat(file["pre_tokenizer"], "pretokenizers"), file["model"]
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    known = all(n["type"] in ("NFC", "Lowercase") or n == spaces for n in normal)
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    as_bytes = len(pre) == 2 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+    plain = model["type"] == "BPE" and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"])
+    parts = known and as_bytes and pre[0] == split and plain
+    return parts, parts and any(n["type"] == "Lowercase" for n in normal)
+
+
 class Encoder:
     """The library's ids of a text, remembered by what stands between spaces and line feeds.
 
-    Only for tokenizers that drop white space and look at nothing across it, which is
-    checked: then a text's ids are those of its parts, one after another.  If the
+    Only for tokenizers that drop white space and look at nothing across it, which their file
+    must declare (``declared``) and is checked on samples: then a text's ids are those of its parts, one after another.  If the
     tokenizer also folds case and parts words from the signs behind them, as is checked
     too, remembered parts serve for more chunks; plain words go straight to the
     library's model where that gives the same.
@@ -129,10 +154,11 @@ class Encoder:
         self.tokenizer = library_tokenizer(data)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._known: dict[str, bytes] = {"": b""}
+        parts, folds = declared(spec(data))
         text = "a b\nc  d\n e"
         whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.parts = whole == [i for p in text.split() for i in self._ids(p)]
-        self.folds = self._ids("A\u00c9B\u00d8C") == self._ids("a\u00e9b\u00f8c")
+        self.parts = parts and whole == [i for p in text.split() for i in self._ids(p)]
+        self.folds = folds and self._ids("A\u00c9B\u00d8C") == self._ids("a\u00e9b\u00f8c")
         self.words = all(self._ids(word + signs) == self._ids(word) + self._ids(signs) for word in ("a", "there", "\u00e9t\u00e9") for signs in (".", ",", "!!", "%%%", "|"))
         self.bare = all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(w)] for w in ("a", "there", "unthinkingly", "zqxv"))
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -272,6 +298,8 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new place for files in the shared checkpoint folder."""
+    """A new place for files in the shared checkpoint folder; they go when the application ends."""
     common.checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/gridloom-token-files-{uuid.uuid4().hex}"
+    name = f"{spark.sparkContext.getCheckpointDir()}/gridloom-token-files-{uuid.uuid4().hex}"
+    common.discard(spark, name, at_exit=True)
+    return name
