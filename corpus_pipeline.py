@@ -55,11 +55,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table, in the shared checkpoint folder."""
+    """All stages over the ``documents`` table, in the shared checkpoint folder.
+
+    Each stage's files go when the next one's are there, the last one's when the application ends.
+    Null, empty and very long texts, repeated rows, empty tables and extra columns are each
+    stage's to handle, as its operator says: documents without words go in the first, repeated
+    ones in the second; an empty table gives an empty one with the last stage's columns; extra
+    columns, whatever their names, are passed on.
+    """
     common.checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/gridloom-pipeline-{uuid.uuid4().hex}"
+    common.discard(spark, place, at_exit=True)
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
         docs = spark.read.parquet(f"{place}/{k}-{name}")
+        if k:
+            common.discard(spark, f"{place}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
