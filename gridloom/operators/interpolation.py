@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,19 @@ def grid(tiles: DataFrame, size: Resolution) -> DataFrame:
 
 
 class Interpolation:
-    """``rasters`` gives ``tile_id, y, x`` and each value column, for every pixel of every tile of ``tiles``."""
+    """``rasters`` gives ``tile_id, y, x`` and each value column, for every pixel of every tile of ``tiles``.
 
-    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame) -> DataFrame:
+    ``weights`` gives what depends on the points' places alone, if there is such a thing; it can be
+    kept and given to ``rasters`` again for other values of the same points.
+    """
+
+    #: Whether the plan of ``rasters`` reads the points in one place only.
+    reads_once: ClassVar[bool] = False
+
+    def weights(self, points: DataFrame, size: Resolution) -> DataFrame | None:
+        return None
+
+    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 
 
@@ -39,21 +50,23 @@ class Nearest(Interpolation):
     Points are in square cells of a few points each.  A pixel looks at the 3 x 3 cells
     around it; what it finds within a cell's side is certainly nearest.  The rest look
     again in cells of four times the side, until cells cover the grid.  Each round
-    is an equi-join on (tile, cell), so neither tiles nor pixels meet all points.
+    is an equi-join on (tile, cell); only pixels far from all points, in the last rounds, meet
+    most of a tile's points.
     """
 
-    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame) -> DataFrame:
+    reads_once: ClassVar[bool] = True
+
+    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         longest = max(size)
         # Projections keep positions on the grid, but frames need not: cells are for positions held to it.
-        counts = points.groupBy("tile_id").agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("reach"))
+        counts = points.groupBy("tile_id").agg(F.count("*").alias("n"))
         side = F.greatest(F.lit(1.0), F.ceil(F.sqrt(ratio(F.lit(2.0 * size.width * size.height), F.col("n")))).cast("double"))
-        sides = counts.select("tile_id", side.alias("side"), "reach")
+        sides = counts.select("tile_id", side.alias("side"))
         kept = F.struct(*[F.col(c) for c in values], F.col("u"), F.col("v"), F.col("point_id"))
         with_sides = points.join(sides, "tile_id").select("tile_id", "side", kept.alias("p"))
-        pixels = grid(tiles, size).join(sides.select("tile_id", "side"), "tile_id", "left").select("*", F.lit(None).cast("double").alias("d2"), F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("double").alias(c) for c in values])
+        pixels = grid(tiles, size).join(sides, "tile_id", "left").select("*", F.lit(None).cast("double").alias("d2"), F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("double").alias(c) for c in values])
         rounds = max(1, math.ceil(math.log(max(longest, 2), 4))) + 1
         for k in range(rounds):
-            last = k == rounds - 1
             cell = F.col("side") * float(4**k)
             inside = lambda c, s, n: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(n)), c)) / s)
             placed = with_sides.select("tile_id", inside(F.col("p.u"), cell, size.width).alias("cx"), inside(F.col("p.v"), cell, size.height).alias("cy"), "p")
@@ -67,7 +80,6 @@ class Nearest(Interpolation):
             best = met.groupBy(*PIXEL, "side", "d2", "id", *values).agg(F.min(F.when(F.col("p").isNotNull(), F.struct(far.alias("d2"), F.col("p.point_id").alias("id"), *[F.col(f"p.{c}").alias(c) for c in values]))).alias("m"))
             new = lambda c: F.coalesce(F.col(f"m.{c}"), F.col(c)) if c in ("d2", "id") else F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c))
             pixels = best.select(*PIXEL, "side", *[new(c).alias(c) for c in ("d2", "id", *values)])
-            del last
         return pixels.select(*PIXEL, *values)
 
 
@@ -159,8 +171,11 @@ def weighted(weights: DataFrame, points: DataFrame, values: list[str], size: Res
 class Linear(Interpolation):
     """Barycentric on the Delaunay triangulation; missing exactly outside the hull."""
 
-    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame) -> DataFrame:
-        return weighted(barycentric(delaunay_triangles(points), points, size), points, values, size, tiles)
+    def weights(self, points: DataFrame, size: Resolution) -> DataFrame:
+        return barycentric(delaunay_triangles(points), points, size)
+
+    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+        return weighted(self.weights(points, size) if weights is None else weights, points, values, size, tiles)
 
 
 @dataclass(frozen=True)
@@ -185,15 +200,15 @@ class Delaunay(Interpolation):
             raise ValueError("aspect ratio factors are positive")
 
     def weights(self, points: DataFrame, size: Resolution) -> DataFrame:
+        if self.enable_density_thinning:
+            points = thin_points(points, size, self.max_points_per_pixel, self.density_ratio_trigger)
         triangles = delaunay_triangles(points)
         if self.interior_culling:
             triangles = cull(triangles, points, self.area_scale, self.aspect_ratio_mad_factor, self.aspect_ratio_fallback_scale)
         return barycentric(triangles, points, size)
 
-    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame) -> DataFrame:
-        if self.enable_density_thinning:
-            points = thin_points(points, size, self.max_points_per_pixel, self.density_ratio_trigger)
-        return weighted(self.weights(points, size), points, values, size, tiles, self.fill)
+    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+        return weighted(self.weights(points, size) if weights is None else weights, points, values, size, tiles, self.fill)
 
 
 def _gradients(points: np.ndarray, triangles: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -252,7 +267,7 @@ def clough_tocher(points: np.ndarray, triangle: np.ndarray, values: np.ndarray,
 class Cubic(Interpolation):
     """Clough-Tocher C1 cubics with estimated gradients, tile by tile; missing outside the hull."""
 
-    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame) -> DataFrame:
+    def rasters(self, points: DataFrame, values: list[str], size: Resolution, tiles: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         columns = list(values)
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -23,7 +23,8 @@ class RasterEngine:
 
     ``projection`` and ``interpolation`` are strategies, their keys, or (key, options).
     The projected points, the base rasters and whatever serves several features are
-    persisted to memory and disk; ``close`` lets them go.  With a ``store`` every target
+    persisted to memory and disk, as are the interpolation's weights, which serve later calls,
+    too; ``close`` lets them go.  With a ``store`` every target
     is written there, and read from there by ``generate``.
     """
 
@@ -36,6 +37,7 @@ class RasterEngine:
         self.store, self._persist = store, persist
         self.plan = FeaturePlan(registry, self._reuse)
         self._held: list[DataFrame] = []
+        self._weights: DataFrame | None = None
 
     @property
     def projection(self) -> Any:
@@ -58,10 +60,12 @@ class RasterEngine:
             columns = {f"base_{k}": spec.column(self.points) for k, spec in enumerate(base.values())}
             valued = self.points.select("tile_id", "point_id", "x", "y", "z", *[c.cast("double").alias(n) for n, c in columns.items()])
             projected = self._projection.project(valued, self.size).select("tile_id", "point_id", "u", "v", *columns)
-            if len(base) + len(features) > 2 or type(self.interpolation).__name__ != "Nearest":
+            if len(base) + len(features) > 2 or not self.interpolation.reads_once:
                 projected = self._hold(projected)
             tiles = self.points.select("tile_id").distinct()
-            rasters = self.interpolation.rasters(projected, list(columns), self.size, tiles)
+            if self._weights is None and (weights := self.interpolation.weights(projected.select("tile_id", "point_id", "u", "v"), self.size)) is not None:
+                self._weights = self._hold(weights)
+            rasters = self.interpolation.rasters(projected, list(columns), self.size, tiles, self._weights)
             if len(features) > 1 or len(base) > 1:
                 rasters = self._hold(rasters)
             for column, name in zip(columns, base, strict=True):
@@ -77,6 +81,7 @@ class RasterEngine:
         for df in self._held:
             df.unpersist()
         self._held.clear()
+        self._weights = None
 
 
 class ImageKey(NamedTuple):
@@ -95,14 +100,18 @@ class Tile:
 
 @dataclass(frozen=True)
 class TiledSettings:
-    """Options of a tiled run; those that are None are left out."""
+    """Options of a tiled run, for ``TiledEngine(tiles, **settings.as_kwargs())``; those that are None are left out."""
 
     resolution: tuple[int, int] = (16, 12)
     projection: str = "spherical"
     interpolation: Any = "nearest_neighbor"
     projection_options: Mapping[str, Any] | None = None
     store_path: str | None = None
-    extend_store_path: bool = False
+
+    def extend_store_path(self, folder: str) -> TiledSettings:
+        """The same options with the store, if there is one, in a folder of its own."""
+        validate_key(folder)
+        return self if self.store_path is None else replace(self, store_path=f"{self.store_path.rstrip('/')}/{folder}")
 
     def as_kwargs(self) -> dict[str, Any]:
         return {k: v for k, v in vars(self).items() if v is not None}
@@ -111,14 +120,16 @@ class TiledSettings:
 class TiledEngine:
     """Rasters of many tiles by the same plan: tiles of equal options are one point table, and share every job.
 
-    Failures are those of the Spark job; nothing of a failed run is kept.
+    Failures are those of the Spark job; nothing of a failed run is kept.  With a
+    ``store_path`` rasters are written to a store there, and read from it.
     """
 
     def __init__(
         self, tiles: Iterable[Tile], resolution: Resolution | tuple[int, int], projection: str = "spherical", interpolation: Any = "nearest_neighbor",
-        projection_options: Mapping[str, Any] | None = None, registry: FeatureRegistry = FEATURES,
+        projection_options: Mapping[str, Any] | None = None, registry: FeatureRegistry = FEATURES, store_path: str | None = None,
     ) -> None:
         tiles = list(tiles)
+        self.store = RasterStore(tiles[0].points.sparkSession, store_path, resolution) if store_path is not None and tiles else None
         ids = [t.tile_id for t in tiles]
         twice = sorted({i for i in ids if ids.count(i) > 1})
         if twice:
@@ -142,7 +153,12 @@ class TiledEngine:
     def rasters(self, features: Sequence[str]) -> dict[str, Raster]:
         """Each feature's raster over all tiles, the form to go on with at scale."""
         made = [e.generate(features) for e in self.engines]
-        return {f: Raster(reduce(DataFrame.unionByName, [m[f].df for m in made]), made[0][f].size, made[0][f].bands) for f in features}
+        out = {f: Raster(reduce(DataFrame.unionByName, [m[f].df for m in made]), made[0][f].size, made[0][f].bands) for f in features}
+        if self.store is None:
+            return out
+        for f, raster in out.items():
+            self.store.add(f, raster)
+        return {f: self.store.get(f) for f in out}
 
     def generate(self, features: Sequence[str]) -> dict[ImageKey, Raster]:
         """A lazy raster for each tile and feature; a failing feature fails the call."""

@@ -24,6 +24,10 @@ def validate_key(key: str) -> str:
     return key
 
 
+#: Pixels that go to one file of a stored raster.
+FILE_PIXELS = 1 << 20
+
+
 class RasterStore:
     """Rasters by name under one path, each a folder of tile partitions.
 
@@ -45,7 +49,9 @@ class RasterStore:
         raster = storable(raster)
         if raster.size != self.size:
             raise ValueError(f"the store holds rasters of {self.size}, not {raster.size}")
-        writer = raster.df.select(*PIXEL, *raster.bands).repartition("tile_id").write.partitionBy("tile_id").mode("overwrite")
+        # A large tile goes to several tasks and files, by bands of rows.
+        band = F.floor(F.col("y") / max(1, FILE_PIXELS // self.size.width))
+        writer = raster.df.select(*PIXEL, *raster.bands).repartition("tile_id", band).write.partitionBy("tile_id").mode("overwrite")
         if mode == "tiles":
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(place)
@@ -82,11 +88,14 @@ class RasterStore:
             fs.delete(path, True)
             self._bands.pop(name, None)
 
-    def offload(self, names: Iterable[str] | None = None) -> None:
-        """Rasters are on disk as soon as they are added; unknown names are an error."""
-        for name in names or ():
-            if name not in self._bands:
-                raise KeyError(name)
+    def offload(self, features: str | Iterable[str] | None = None) -> None:
+        """Let go of what Spark holds of these rasters (of all by default) in memory; they are on disk as soon as they are added.  Unknown names are an error."""
+        for name in list(self._bands) if features is None else [features] if isinstance(features, str) else features:
+            self.get(name).df.unpersist()
+
+    def offload_image_data_to_disk(self, features: str | Iterable[str] | None = None) -> None:
+        """Legacy alias of ``offload``."""
+        self.offload(features)
 
     @property
     def rasters(self) -> Mapping[str, Raster]:

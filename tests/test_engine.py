@@ -9,7 +9,7 @@ import sys
 import numpy as np
 import pytest
 from gridloom.errors import InvalidKey, LookupFailed
-from gridloom.operators.interpolation import Delaunay, Nearest
+from gridloom.operators.interpolation import Delaunay, Linear, Nearest
 from gridloom.operators.projection import Orthographic, Projection, Spherical
 from gridloom.plans import catalog, grammar
 from gridloom.plans.engine import ImageKey, RasterEngine, Tile, TiledEngine, TiledSettings
@@ -195,7 +195,7 @@ def test_user_features_and_mask_band(spark):
     engine.close()
 
 
-def test_tiles(spark):
+def test_tiles(spark, tmp_path):
     tiles = [Tile("tile_00", cloud(spark, seed=1)), Tile("tile_01", cloud(spark, seed=2)), Tile("tile_02", cloud(spark, seed=1), {"field_of_view": None})]
     engine = TiledEngine(tiles, (8, 8), "spherical", "nearest_neighbor")
     made = engine.generate(["range", "gradient_x_range"])
@@ -214,7 +214,25 @@ def test_tiles(spark):
         TiledEngine([Tile("../x", tiles[0].points)], (8, 8))
     with pytest.raises(ValueError):
         TiledEngine(tiles[:1], (8, 8)).generate(["intensity"])
-    assert TiledSettings().as_kwargs() == {"resolution": (16, 12), "projection": "spherical", "interpolation": "nearest_neighbor", "extend_store_path": False}
+    assert TiledSettings().as_kwargs() == {"resolution": (16, 12), "projection": "spherical", "interpolation": "nearest_neighbor"}
+    settings = TiledSettings((8, 8), store_path=str(tmp_path)).extend_store_path("run_1")
+    stored = TiledEngine(tiles[:2], **settings.as_kwargs())
+    assert np.allclose(array_of(stored.generate(["range"])[ImageKey("tile_01", "range")]), b) and (tmp_path / "run_1" / "range").exists()
+    stored.close()
+
+
+def test_weights_are_found_once(spark, monkeypatch):
+    calls = []
+    found = Linear.weights
+    monkeypatch.setattr(Linear, "weights", lambda self, points, size: (calls.append(1), found(self, points, size))[1])
+    engine = RasterEngine(cloud(spark, n=64, seed=5, intensity=2.5), (8, 8), "orthographic", "linear")
+    first = array_of(engine.generate(["range"])["range"])
+    second = array_of(engine.generate(["intensity"])["intensity"])
+    assert len(calls) == 1
+    engine.close()
+    alone = RasterEngine(cloud(spark, n=64, seed=5, intensity=2.5), (8, 8), "orthographic", "linear")
+    assert np.allclose(array_of(alone.generate(["intensity"])["intensity"]), second, equal_nan=True) and not np.allclose(first, second, equal_nan=True)
+    alone.close()
 
 
 def test_keys():
