@@ -7,6 +7,7 @@ nearest point, of a pixel are found once and serve every column.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -228,41 +229,70 @@ def _gradients(points: np.ndarray, triangles: np.ndarray, values: np.ndarray) ->
     return np.stack([np.where(ok, (yy * xr - xy * yr) / safe, 0.0), np.where(ok, (xx * yr - xy * xr) / safe, 0.0)], axis=1)
 
 
-def clough_tocher(points: np.ndarray, triangle: np.ndarray, values: np.ndarray, slopes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The C1 cubic of one triangle, split at its centroid, with cross derivatives linear along its edges.
+def clough_tocher(points: np.ndarray, triangles: np.ndarray, values: np.ndarray, slopes: np.ndarray, at: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """The C1 cubic of each position's triangle, split at its centroid, with cross derivatives linear along its edges.
 
+    ``of`` is each position's row in ``triangles``; there may be one triangle alone.
     Control values of the three cubics follow from the corner values and gradients, the
     edge condition, and smoothness across the inner edges.
     """
-    corner, f, g = points[triangle], values[triangle], slopes[triangle]
-    centre = corner.mean(axis=0)
-    edge = lambda i, j: f[i] + g[i] @ (corner[j] - corner[i]) / 3
-    inner = np.array([f[i] + g[i] @ (centre - corner[i]) / 3 for i in range(3)])
-    across = np.empty(3)  # the middle value of the part that lies opposite corner k
+    triangles = np.atleast_2d(triangles)
+    of = np.zeros(len(at), dtype=np.int64) if of is None else of
+    corner, f, g = points[triangles], values[triangles], slopes[triangles]
+    centre = corner.mean(axis=1)
+    edge = lambda i, j: f[:, i] + (g[:, i] * (corner[:, j] - corner[:, i])).sum(axis=1) / 3
+    inner = f + (g * (centre[:, None] - corner)).sum(axis=2) / 3
+    across = np.empty_like(f)  # the middle value of the part that lies opposite corner k
     for k in range(3):
         i, j = (k + 1) % 3, (k + 2) % 3
-        along = corner[j] - corner[i]
-        normal = np.array([-along[1], along[0]])
+        along = corner[:, j] - corner[:, i]
         # The direction's barycentric parts in (corner i, corner j, centre); their sum is zero.
-        solve = np.linalg.solve(np.vstack([np.stack([corner[i], corner[j], centre], axis=1), np.ones(3)]), np.append(normal, 0.0))
-        ends = solve @ [f[i], edge(i, j), inner[i]] + solve @ [edge(j, i), f[j], inner[j]]
-        across[k] = (ends / 2 - solve[0] * edge(i, j) - solve[1] * edge(j, i)) / solve[2]
-    near = np.array([(across[(i + 1) % 3] + across[(i + 2) % 3] + inner[i]) / 3 for i in range(3)])
-    middle = near.mean()
-    w = weights_of(points, triangle, at)
+        system = np.ones((len(triangles), 3, 3))
+        system[:, :2] = np.stack([corner[:, i], corner[:, j], centre], axis=2)
+        normal = np.stack([-along[:, 1], along[:, 0], np.zeros(len(triangles))], axis=1)
+        parts = np.linalg.solve(system, normal[:, :, None])[:, :, 0].T
+        ends = parts[0] * (f[:, i] + edge(j, i)) + parts[1] * (edge(i, j) + f[:, j]) + parts[2] * (inner[:, i] + inner[:, j])
+        across[:, k] = (ends / 2 - parts[0] * edge(i, j) - parts[1] * edge(j, i)) / parts[2]
+    near = (np.roll(across, -1, axis=1) + np.roll(across, -2, axis=1) + inner) / 3
+    middle = near.mean(axis=1)
+    w = weights_of(points, triangles[of], at)
     out = np.empty(len(at))
     part = w.argmin(axis=1)
     for k in range(3):
-        mine = part == k
+        mine = np.flatnonzero(part == k)
+        t = of[mine]
         i, j = (k + 1) % 3, (k + 2) % 3
-        r, s, t = w[mine, i] - w[mine, k], w[mine, j] - w[mine, k], 3 * w[mine, k]
+        r, s, c = w[mine, i] - w[mine, k], w[mine, j] - w[mine, k], 3 * w[mine, k]
         out[mine] = (
-            f[i] * r**3 + f[j] * s**3 + middle * t**3 + 3 * edge(i, j) * r**2 * s + 3 * edge(j, i) * r * s**2 + 3 * inner[i] * r**2 * t
-            + 3 * inner[j] * s**2 * t + 3 * near[i] * r * t**2 + 3 * near[j] * s * t**2 + 6 * across[k] * r * s * t
+            f[t, i] * r**3 + f[t, j] * s**3 + middle[t] * c**3 + 3 * edge(i, j)[t] * r**2 * s + 3 * edge(j, i)[t] * r * s**2 + 3 * inner[t, i] * r**2 * c
+            + 3 * inner[t, j] * s**2 * c + 3 * near[t, i] * r * c**2 + 3 * near[t, j] * s * c**2 + 6 * across[t, k] * r * s * c
         )
     return out
 
 
+#: Pixels of triangles' bounding boxes that are looked at together.
+BOXED = 1 << 20
+
+
+def covered(points: np.ndarray, triangles: np.ndarray, size: Resolution) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """x, y and row of the triangle, of all pixels in triangles, some triangles at a time."""
+    p = points[triangles]
+    low = np.maximum(np.ceil(p.min(axis=1) - 1e-9), 0).astype(np.int64)
+    high = np.minimum(np.floor(p.max(axis=1) + 1e-9), [size.width - 1, size.height - 1]).astype(np.int64)
+    wide, tall = np.maximum(high - low + 1, 0).T
+    ends = np.cumsum(wide * tall)
+    first = 0
+    while first < len(triangles):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BOXED, side="right")))
+        of = np.repeat(np.arange(first, last), (wide * tall)[first:last])
+        place = np.arange(len(of)) + before - (ends - wide * tall)[of]
+        x, y = low[of, 0] + place % np.maximum(wide[of], 1), low[of, 1] + place // np.maximum(wide[of], 1)
+        inside = (weights_of(points, triangles[of], np.column_stack([x, y]).astype(float)) >= -1e-9).all(axis=1)
+        yield x[inside], y[inside], of[inside]
+        first = last
+
+
 @dataclass(frozen=True)
 class Cubic(Interpolation):
     """Clough-Tocher C1 cubics with estimated gradients, tile by tile; missing outside the hull."""
@@ -278,18 +308,10 @@ class Cubic(Interpolation):
             data = pdf[columns].to_numpy(dtype=float)
             out = np.full((size.height, size.width, len(columns)), np.nan)
             slopes = [_gradients(p, triangles, data[:, k]) for k in range(len(columns))]
-            for t in triangles:
-                low = np.maximum(np.ceil(p[t].min(axis=0) - 1e-9), 0).astype(int)
-                high = np.minimum(np.floor(p[t].max(axis=0) + 1e-9), [size.width - 1, size.height - 1]).astype(int)
-                if (low > high).any():
-                    continue
-                x, y = np.meshgrid(np.arange(low[0], high[0] + 1), np.arange(low[1], high[1] + 1))
-                at = np.column_stack([x.ravel(), y.ravel()]).astype(float)
-                hit = (weights_of(p, t, at) >= -1e-9).all(axis=1)
-                if hit.any():
-                    cells = at[hit].astype(int)
-                    for k in range(len(columns)):
-                        out[cells[:, 1], cells[:, 0], k] = clough_tocher(p, t, data[:, k], slopes[k], at[hit])
+            for x, y, of in covered(p, triangles, size):
+                rows, of = np.unique(of, return_inverse=True)
+                for k in range(len(columns)):
+                    out[y, x, k] = clough_tocher(p, triangles[rows], data[:, k], slopes[k], np.column_stack([x, y]).astype(float), of)
             y, x = np.mgrid[: size.height, : size.width]
             frame = {"tile_id": name, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32)}
             return pd.DataFrame(frame | {c: out[:, :, k].ravel() for k, c in enumerate(columns)})

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,24 +64,61 @@ def slope(raster: Raster, settings: Settings = Settings()) -> Raster:  # noqa: B
     return Raster(both.select(*PIXEL, F.when(~F.col("beside"), F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("v")), raster.size)
 
 
+#: A block's pixels along each axis, unless the rays are longer.
+BLOCK = 256
+
+
+def openness(height: np.ndarray, steps: tuple[tuple[int, int, int, float], ...], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positive and negative openness of what a border of ``reach`` pixels surrounds; NaN is missing.  A ray's pixels are those that its steps lead from."""
+    rows, columns = height.shape[0] - 2 * reach, height.shape[1] - 2 * reach
+    here = height[reach : reach + rows, reach : reach + columns]
+    sums, counts = np.zeros((2, rows, columns)), np.zeros((rows, columns))
+    for ray in dict.fromkeys(step[0] for step in steps):
+        up, down = np.full((2, rows, columns), np.nan)
+        for _, dy, dx, far in (step for step in steps if step[0] == ray):
+            rise = (height[reach - dy : reach - dy + rows, reach - dx : reach - dx + columns] - here) / far
+            np.fmax(up, rise, out=up)
+            np.fmin(down, rise, out=down)
+        seen = ~np.isnan(up)
+        counts += seen
+        sums += np.where(seen, np.stack([90.0 - np.degrees(np.arctan(up)), 90.0 + np.degrees(np.arctan(down))]), 0.0)
+    mean = np.where(counts > 0, sums / np.maximum(counts, 1), np.nan)
+    return mean[0], mean[1]
+
+
 def pack(raster: Raster, settings: Settings = Settings()) -> Raster:  # noqa: B008
     """Positive and negative openness in degrees, and half their difference, ``structure``.
 
-    Each pixel is sent along the rays to those that see it, met there by one equi-join,
-    and the steepest rise and fall per ray are kept before rays are averaged.
+    Per ray the steepest rise and fall count, and rays are averaged.  Pixels meet in square
+    blocks with a border as wide as the rays are long: one shuffle of about as many rows as
+    there are pixels, and tasks whose size doesn't depend on the tile's.
     """
     steps = rays(settings.directions, settings.distance, settings.pixel)
+    size, reach = raster.size, max(1, settings.distance)
+    side = max(BLOCK, reach)
     start = raster.df.select(*PIXEL, (_finite(raster.single) * settings.z).alias("v"))
-    table = F.array(*[F.struct(F.lit(ray).alias("ray"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(far).alias("far")) for ray, dy, dx, far in steps])
-    sent = start.where("v IS NOT NULL").select("tile_id", "y", "x", F.col("v").alias("there"), F.explode(table).alias("s"))
-    sent = sent.select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "there", "s.ray", "s.far")
-    sent = sent.where((F.col("y") >= 0) & (F.col("y") < raster.size.height) & (F.col("x") >= 0) & (F.col("x") < raster.size.width))
-    met = sent.join(start.where("v IS NOT NULL"), list(PIXEL))
-    rise = ratio(F.col("there") - F.col("v"), F.col("far"))
-    steepest = met.groupBy(*PIXEL, "ray").agg(F.max(rise).alias("up"), F.min(rise).alias("down"))
-    seen = steepest.groupBy(*PIXEL).agg(F.avg(90.0 - F.degrees(F.atan("up"))).alias("positive"), F.avg(90.0 + F.degrees(F.atan("down"))).alias("negative"))
-    out = start.select(*PIXEL).join(seen, list(PIXEL), "left")
-    return Raster(out.select(*PIXEL, "positive", "negative", (0.5 * (F.col("positive") - F.col("negative"))).alias("structure")), raster.size, ("positive", "negative", "structure"))
+
+    def blocks(axis: str, n: int) -> Column:
+        first, last = (F.floor(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(axis) + d)) / side).cast("int") for d in (-reach, reach))
+        return F.explode(F.sequence(first, last))
+
+    dealt = start.select("*", blocks("y", size.height).alias("by")).select("*", blocks("x", size.width).alias("bx"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["by"].iloc[0]) * side, int(pdf["bx"].iloc[0]) * side
+        y, x = pdf["y"].to_numpy() - top, pdf["x"].to_numpy() - left
+        rows, columns = min(side, size.height - top), min(side, size.width - left)
+        height = np.full((rows + 2 * reach, columns + 2 * reach), np.nan)
+        height[y + reach, x + reach] = pdf["v"].to_numpy(dtype=float)
+        positive, negative = openness(height, steps, reach)
+        own = (y >= 0) & (y < rows) & (x >= 0) & (x < columns)
+        y, x = y[own], x[own]
+        return pdf.loc[own, list(PIXEL)].assign(positive=positive[y, x], negative=negative[y, x])
+
+    schema = start.select(*PIXEL).schema.add("positive", "double").add("negative", "double")
+    made = dealt.groupBy("tile_id", "by", "bx").applyInPandas(run, schema)
+    known = [F.when(~F.isnan(c), F.col(c)) for c in ("positive", "negative")]
+    return Raster(made.select(*PIXEL, known[0].alias("positive"), known[1].alias("negative"), (0.5 * (known[0] - known[1])).alias("structure")), size, ("positive", "negative", "structure"))
 
 
 def robust(raster: Raster, low: float, high: float, fill: float) -> Raster:

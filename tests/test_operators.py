@@ -80,22 +80,31 @@ def test_perspective(spark):
             Perspective(*args)
 
 
-def test_triangulation_is_delaunay():
+def spread_points():
     r = np.random.default_rng(1)
-    for n in (3, 10, 60):
-        p = r.random((n, 2))
+    yield from (r.random((n, 2)) for n in (3, 10, 60, 700))
+    yield np.concatenate([r.random((150, 2)) * 1e-4, r.random((150, 2))])  # a tight cluster
+    yield np.concatenate([np.stack([np.arange(40.0), np.zeros(40)], axis=1), [[3.3, 5.0]]])  # all but one on a line
+    yield np.stack(np.meshgrid(np.arange(12.0), np.arange(9.0)), axis=-1).reshape(-1, 2)  # ties everywhere
+
+
+def test_triangulation_is_delaunay():
+    for p in spread_points():
+        n = len(p)
         t = triangulate(p)
         a, b, c = (p[t[:, k]] for k in range(3))
         area = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
         assert (area > 0).all()
+        least = 1e-12 * np.abs(p).max() ** 4
         for k, (i, j, m) in enumerate(t):
             d = p[[i, j, m]][:, None] - p[None]
             s = (d**2).sum(axis=2)
             inside = s[0] * (d[1, :, 0] * d[2, :, 1] - d[1, :, 1] * d[2, :, 0]) - s[1] * (d[0, :, 0] * d[2, :, 1] - d[0, :, 1] * d[2, :, 0]) + s[2] * (d[0, :, 0] * d[1, :, 1] - d[0, :, 1] * d[1, :, 0])
-            assert (inside <= 1e-12).all(), k
+            assert (inside <= least).all(), k
         edges = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1)
         _, counts = np.unique(edges, axis=0, return_counts=True)
         hull = (counts == 1).sum()
+        assert set(t.ravel().tolist()) == set(range(n))
         assert counts.max() <= 2 and len(t) == 2 * n - 2 - hull  # Euler's formula: a triangulation of the whole hull
 
 
@@ -161,6 +170,36 @@ def test_nearest(spark):
         assert (got == d.argmin(axis=2)).all()
 
 
+def test_triangulation_of_many_points():
+    r = np.random.default_rng(2)
+    p = np.concatenate([r.random((10_000, 2)), 0.5 + 1e-4 * r.normal(size=(10_000, 2))])
+    t = triangulate(p)
+    a, b, c = (p[t[:, k]] for k in range(3))
+    area = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
+    assert (area > 0).all() and len(np.unique(t)) == len(p)
+    assert 0.99 < area.sum() < 1
+
+
+def test_openness_of_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    height = r.random((23, 31))
+    height[4, 5] = height[22, 30] = NAN
+    settings = red_relief.Settings(distance=5, directions=7)
+    raster = raster_of(spark, height)
+    one = {(p["y"], p["x"]): p for p in red_relief.pack(raster, settings).df.collect()}
+    monkeypatch.setattr(red_relief, "BLOCK", 7)
+    many = {(p["y"], p["x"]): p for p in red_relief.pack(raster, settings).df.collect()}
+    assert one == many and len(one) == height.size
+    for y, x in ((0, 0), (10, 13), (22, 29)):
+        ups = []
+        for ray in range(7):
+            rises = [(height[y - dy, x - dx] - height[y, x]) / far for k, dy, dx, far in red_relief.rays(7, 5) if k == ray and 0 <= y - dy < 23 and 0 <= x - dx < 31]
+            rises = [v for v in rises if not np.isnan(v)]
+            ups += [90 - math.degrees(math.atan(max(rises)))] if rises else []
+        assert math.isclose(one[y, x]["positive"], sum(ups) / len(ups), rel_tol=1e-12)
+    assert one[4, 5]["positive"] is None
+
+
 def test_delaunay_ties_and_duplicates(spark):
     points = placed(spark, [(0, 0), (4, 0), (0, 4), (0, 0), (4, 4)], range(5))
     assert {tuple(r)[1:] for r in delaunay_triangles(points).collect()} <= {(0, 1, 2), (1, 2, 4), (0, 1, 4), (0, 2, 4)}
